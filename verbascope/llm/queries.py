@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbascope.llm import bpe
+from verbascope.llm import bpe, mixing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op7_source_mix": mixing.op7_source_mix,
+    "op9_warc": warc.op9_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_source_mix": mixing.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
+}
