@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbascope.llm import bpe, mixing, warc
+from verbascope.llm import bpe, dedup, knn, mixing, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": dedup.op1_order_minhash,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op7_source_mix": mixing.op7_source_mix,
+    "op8_quality_votes": knn.op8_quality_votes,
     "op9_warc": warc.op9_warc,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
