@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from verbascope.llm.common import BLANK, WORD, stored, table
 
 LEAST_WORDS, COMMON_WORDS, COMMON_SHARE, LEAST_REFERENCE = 50, 24, 500, 2000
-CHARACTER_LIMIT, WORD_LIMIT = 0.25, 0.5
+CHARACTER_LIMIT, WORD_LIMIT = 0.27, 0.45
 #: Languages whose references are broadcast, at most; more are joined by shuffle.
 BROADCAST_LANGUAGES = 2000
 #: Characters that a class leaves when all others are removed; what is in none of them counts as other.
