@@ -137,7 +137,7 @@ def lemma_tokens(rows: DataFrame, factory: Callable[[], Analyzer], text: str = "
 
 def content_words(essays: DataFrame, factory: Callable[[], Analyzer]) -> DataFrame:
     """essay_id, word, lemma of the nouns, verbs, adjectives and adverbs of each essay's lowered paragraphs."""
-    paragraphs = essays.select("essay_id", F.lower(F.explode("paragraphs")).alias("text"))
+    paragraphs = essays.select("essay_id", F.explode("paragraphs").alias("text")).withColumn("text", F.lower("text"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         analyzer = factory()

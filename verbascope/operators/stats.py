@@ -49,7 +49,8 @@ def correlations(rows: DataFrame, names: tuple[str, ...] = PHRASE_INDICES, outco
     got = long.groupBy("index", "place").agg(F.avg("x").alias("mean"), sd_x.alias("sd"), F.count("*").alias("n"), F.covar_pop("x", "y").alias("_xy"), sd_y.alias("_sy"))
     r = F.when((F.col("n") >= 3) & (F.col("sd") > 0) & (F.col("_sy") > 0), F.col("_xy") / (F.col("sd") * F.col("_sy")))
     every = rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "`index` string, place int")
-    out = every.join(got.withColumn("r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))), ["index", "place"], "left")
+    # least and greatest pass over nulls, which must stay
+    out = every.join(got.withColumn("r", F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))), ["index", "place"], "left")
     return out.select("index", "place", "mean", "sd", F.coalesce("n", F.lit(0)).alias("n"), "r")
 
 
@@ -61,7 +62,11 @@ def correlation_table(table: DataFrame) -> DataFrame:
     """``correlations`` with p, significance marks and the correlations of earlier runs: one row for each index."""
     # the two comparators are columns of a literal table, at most as long as the list of indices
     known = table.sparkSession.createDataFrame([(k, v6, fixed) for k, (v6, fixed) in REFERENCE_R.items()], "`index` string, r_docx_v6 double, r_v12_fixed double")
-    p_of = F.pandas_udf(lambda r, n: pd.Series([pearson_p(None if pd.isna(a) else float(a), int(b)) for a, b in zip(r, n, strict=True)], dtype="float64"), "double", F.PandasUDFType.SCALAR)
+
+    @F.pandas_udf("double")
+    def p_of(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([pearson_p(None if pd.isna(a) else float(a), int(b)) for a, b in zip(r, n, strict=True)], dtype="float64")
+
     with_p = table.withColumn("p", F.nanvl(p_of("r", "n"), F.lit(None).cast("double")))
     return with_p.withColumn("sig", stars(F.col("p"))).withColumnRenamed("r", "r_senseaware").join(known, "index", "left")
 
