@@ -1,0 +1,151 @@
+import random
+
+import numpy as np
+import pytest
+
+from verbascope.llm import dedup
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def pair(rng, n, words=6):
+    a = [rng.randrange(words) for _ in range(n)]
+    b = list(a)
+    for _ in range(rng.randrange(8)):
+        if b and rng.random() < 0.6:
+            b.pop(rng.randrange(len(b)))
+        else:
+            b.insert(rng.randrange(len(b) + 1), rng.randrange(words))
+    return np.array(a, np.uint64), np.array(b, np.uint64)
+
+
+def test_alignment():
+    rng = random.Random(2)
+    pairs = [pair(rng, rng.randrange(40)) for _ in range(300)]
+    bands = [rng.randrange(12) for _ in pairs]
+    for (a, b), band, d in zip(pairs, bands, dedup.distances(pairs, bands), strict=True):
+        true = edits(a, b)
+        assert d == true if true <= band else d > band
+    assert dedup.linked(pairs) == [edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+
+
+def test_sketch_keeps_order_and_occurrence():
+    sketch = dedup.Sketcher()
+    words = [f"w{i}" for i in range(60)]
+    assert (sketch(words) == sketch(list(words))).all()
+    assert len(set(sketch(words).tolist()) & set(sketch(words[30:] + words[:30]).tolist())) < dedup.ITEMS
+    assert len(sketch([])) == 0 and len(sketch(["one"])) == dedup.ITEMS and (sketch(["a"]) != sketch(["b"])).any()
+    # repeats are told apart: more of the same is another text
+    assert (sketch(["x"] * 10) != sketch(["x"] * 200)).any()
+
+
+def test_sketch_shares_items_with_near_copies():
+    rng, sketch, found = random.Random(1), dedup.Sketcher(), 0
+    for _ in range(100):
+        words = [str(rng.randrange(10**6)) for _ in range(200)]
+        copy = list(words)
+        for _ in range(8):
+            copy[rng.randrange(200)] = "edit"
+        found += bool(set(sketch(words).tolist()) & set(sketch(copy).tolist()))
+    assert found >= 99
+
+
+def brute(texts):
+    """Classes by aligning all pairs of different texts that their words allow."""
+    sketch, parent = dedup.Sketcher(), list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    words = [sketch.hashes(t.split()) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = words[i], words[j]
+            most = int(0.2 * max(len(a), len(b)) + 1e-9)
+            if texts[i] == texts[j] or (len(a) and len(b) and abs(len(a) - len(b)) <= most and dedup.linked([(a, b)])[0]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+def corpus(rng, n=40):
+    """Documents with a passage that many share, near copies in chains, and exact copies."""
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(n):
+        words = [f"{rng.randrange(5000)}" for _ in range(rng.randrange(80, 160))]
+        texts.append(" ".join(words[:20] + passage + words[20:] if i % 2 else words))
+    for i in range(0, n, 5):
+        base = texts[i].split()
+        for _ in range(4):
+            base = list(base)
+            for _ in range(4):
+                base[rng.randrange(len(base))] = f"e{rng.randrange(9)}"
+            texts.append(" ".join(base))
+    return texts + texts[:6]
+
+
+def test_classes_against_brute_force(spark):
+    texts = corpus(random.Random(3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_a_large_group_of_near_copies_and_a_common_passage(spark):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    passage = [f"p{i}" for i in range(100)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"x{i}"
+        texts.append(" ".join(copy))
+    alone = [" ".join(passage + [f"{i}-{k}" for k in range(60 + i % 50)]) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts + alone)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_duplicates(docs).collect()}
+    assert {got[i] for i in range(150)} == {0} and all(got[i] == i for i in range(150, 270))
+
+
+EDGES = [
+    (1, None, "a"), (2, None, "b"), (None, "same text of a few words here", "c"), (3, "same text of a few words here", "d"), (3, "same text of a few words here", "d"),
+    (4, "", "e"), (5, "", "f"), (6, "  \n ", "g"), (7, "word", "h"), (8, " word\n", "i"), (9, "long " * 20000, "j"), (10, "long " * 19990, "k"), (None, None, "l"),
+]
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame([(*r, "x", 1) for r in EDGES], "doc_id long, text string, source string, class_id string, key int")
+    rows = dedup.near_duplicates(docs).collect()
+    assert len(rows) == len(EDGES)
+    got = {(r["doc_id"], r["class_id"], r["kept"]) for r in rows}
+    assert got == {
+        (1, 1, True), (2, 2, True), (None, None, True), (None, 3, False), (3, 3, True), (4, 4, True), (5, 4, False), (6, 6, True), (7, 7, True), (8, 7, False), (9, 9, True), (10, 9, False),
+    }
+    kept = dedup.distinct_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0), r["source"]) for r in kept.collect()) == [(0, "l"), (1, "a"), (2, "b"), (3, "d"), (4, "e"), (6, "g"), (7, "h"), (9, "j")]
+    assert dedup.near_duplicates(docs.limit(0)).collect() == [] and dedup.distinct_documents(docs.limit(0)).collect() == []
+
+
+def test_query(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
+    got = {r["doc_id"]: r["class_id"] for r in dedup.op1_order_minhash(spark, small).collect()}
+    roots = brute([r["text"] for r in docs])
+    assert [got[r["doc_id"]] for r in docs] == [docs[i]["doc_id"] for i in roots]
+
+
+@pytest.mark.parametrize("similarity", [0.7, 0.95])
+def test_similarity_is_a_parameter(spark, similarity):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join(words[:90] + ["x"] * 10)]
+    rows = dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similarity)
+    assert len({r["class_id"] for r in rows.collect()}) == (1 if similarity < 0.9 else 2)
