@@ -34,6 +34,11 @@ BROADCAST_LANGUAGES = 2000
 CLASSES = (r"[^\p{Ll}]+", r"[^\p{Lu}]+", r"[^0-9]+", r"[^\x20\x09-\x0D]+", r"[^.,;:!?'\x22()-]+", r"[^#*$%&|<>]+")
 
 
+def fenced(rows: DataFrame) -> DataFrame:
+    """``rows`` behind a generator of one row each, which filters on computed columns aren't pushed through: they would compute them many times over."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -79,7 +84,7 @@ def measured(docs: DataFrame) -> DataFrame:
     covered = F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
     rows = rows.withColumn("n_repeat_words", F.when(F.size("words") >= 3, covered).otherwise(0).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).drop("windows", "lines", "classes", "n_chars")
+    return fenced(rows.withColumn("base_failed", failed).drop("windows", "lines", "classes", "n_chars"))
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -122,9 +127,8 @@ def judged(docs: DataFrame) -> DataFrame:
         "word_distance": F.when(fit, distance(F.col("own"), F.col("reference_counts"), F.col("n_words"), F.col("reference_total"))),
     })
     far = (F.coalesce("char_distance", F.lit(0.0)) > CHARACTER_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~far).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
-    )
+    verdict = rows.withColumn("kept", ~F.col("base_failed") & ~far)
+    return fenced(verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"))
 
 
 def op3_distribution_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
