@@ -39,8 +39,8 @@ def read_essays(spark: SparkSession, path: str, row_tag: str = "essay") -> tuple
     schema = "essay_id string, paragraph array<string>, total_score double, _broken string"
     raw = spark.read.format("xml").options(rowTag=row_tag, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", recursiveFileLookup="true", pathGlobFilter="*.xml").schema(schema).load(path)
     raw = raw.withColumns({"_file": F.input_file_name(), "_place": F.monotonically_increasing_id()})
-    # the corrupt record may not be the only column that is read
-    broken = raw.where("_broken IS NOT NULL AND length(coalesce(essay_id, '')) >= 0").select("_file", "_broken")
+    # a row is broken only if all its columns are parsed
+    broken = raw.where("_broken IS NOT NULL AND length(concat_ws('', essay_id, paragraph, CAST(total_score AS STRING))) >= 0").select("_file", "_broken")
     essays = raw.where("_broken IS NULL AND essay_id IS NOT NULL").select(
         "essay_id", F.coalesce("paragraph", F.array().cast("array<string>")).alias("paragraphs"), "total_score", F.struct("_file", "_place").alias("_row")
     )
