@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verbascope.llm.common import BLANK, WORD, stored, table
+from verbascope.llm.mixing import word_count
 
 LEAST_WORDS, COMMON_WORDS, COMMON_SHARE, LEAST_REFERENCE = 50, 24, 500, 2000
 CHARACTER_LIMIT, WORD_LIMIT = 0.27, 0.45
 #: Languages whose references are broadcast, at most; more are joined by shuffle.
 BROADCAST_LANGUAGES = 2000
-#: Characters that a class leaves when all others are removed; what is in none of them counts as other.
-CLASSES = (r"[^\p{Ll}]+", r"[^\p{Lu}]+", r"[^0-9]+", r"[^\x20\x09-\x0D]+", r"[^.,;:!?'\x22()-]+", r"[^#*$%&|<>]+")
+#: Characters that a class leaves when all others are removed; blanks are a class, too, and what is in none.
+CLASSES = (r"[^\p{Lu}]+", r"[^0-9]+", r"[^.,;:!?'\x22()-]+", r"[^#*$%&|<>]+")
 
 
 def fenced(rows: DataFrame) -> DataFrame:
@@ -57,10 +58,28 @@ def distance(p: Column, q: Column, p_sum: Column, q_sum: Column) -> Column:
     return F.when((p_sum > 0) & (q_sum > 0), F.round(F.sqrt(F.greatest(divergence, F.lit(0.0))), 6))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, words and the base measures of every row of ``docs``, and its character classes."""
-    text = F.coalesce(docs.text, F.lit(""))
-    rows = docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.lang.cast("string").alias("lang"), text.alias("text"))
+def common_words(docs: DataFrame) -> DataFrame:
+    """of, reference_total, common: each language's words in all and its common words with their counts, one small row a language."""
+    rows = docs.select(docs.lang.cast("string").alias("lang"), F.coalesce(docs.text, F.lit("")).alias("text"))
+    sums = stored(rows.groupBy("lang").agg(F.sum(word_count(F.col("text"))).alias("reference_total")).withColumnRenamed("lang", "of"), "rules-sums")
+    said = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # at most COMMON_SHARE words of a language pass, so that ranking them is a small step
+    often = said.join(small(sums), F.col("lang").eqNullSafe(F.col("of"))).where(F.col("n") * COMMON_SHARE >= F.col("reference_total"))
+    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("n"), "word"))
+    ranked = often.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS)
+    found = ranked.groupBy(F.col("of").alias("lang")).agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("common"))
+    none = F.array().cast("array<struct<rank:int,word:string,n:bigint>>")
+    return sums.join(found, F.col("of").eqNullSafe(F.col("lang")), "left").select("of", "reference_total", F.coalesce("common", none).alias("common"))
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table``, of one row for each language, broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_LANGUAGES else table
+
+
+def measured(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """The base measures of every row of ``docs``, its character classes, and how often it has the ``common_words`` of its language."""
+    rows = docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.lang.cast("string").alias("lang"), F.coalesce(docs.text, F.lit("")).alias("text"))
     classes = [F.length(F.regexp_replace("text", c, "")).cast("long") for c in CLASSES]
     rows = rows.select(
         "doc_id", "lang", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"), F.length("text").cast("long").alias("n_chars"), F.array(*classes).alias("classes"),
@@ -71,60 +90,47 @@ def measured(docs: DataFrame) -> DataFrame:
         "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "n_symbols": F.col("classes")[len(CLASSES) - 1],
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        "characters": F.concat("classes", F.array(F.col("n_chars") - total(F.col("classes")))),
     })
     place = F.sequence(F.lit(0), F.size("words") - 3)
-    window = lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("at"))
-    rows = rows.withColumn("windows", F.when(F.size("words") >= 3, F.array_sort(F.transform(place, window))))
-    hashed = lambda j: F.get("windows", j)["h"]
-    again = F.filter(
-        F.sequence(F.lit(0), F.size("windows") - 1), lambda j: hashed(j).eqNullSafe(hashed(j - 1)) | hashed(j).eqNullSafe(hashed(j + 1))
-    )
+    hashed = F.transform(place, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    rows = rows.withColumn("hashes", F.when(F.size("words") >= 3, hashed))
+    # texts without a repeat, told by a hash set, need no sort
+    repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    rows = rows.withColumn("windows", F.when(repeats, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))))
+    at = lambda j: F.get("windows", j)["h"]
+    again = F.filter(F.sequence(F.lit(0), F.size("windows") - 1), lambda j: at(j).eqNullSafe(at(j - 1)) | at(j).eqNullSafe(at(j + 1)))
     starts = F.transform(again, lambda j: F.get("windows", j)["at"])
     covered = F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
-    rows = rows.withColumn("n_repeat_words", F.when(F.size("words") >= 3, covered).otherwise(0).cast("long"))
+    rows = rows.withColumn("n_repeat_words", F.when(F.col("windows").isNotNull(), covered).otherwise(0).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return fenced(rows.withColumn("base_failed", failed).drop("windows", "lines", "classes", "n_chars"))
-
-
-def references(docs: DataFrame) -> DataFrame:
-    """lang, reference words and counts and character classes: one small row for each language."""
-    text = F.coalesce(docs.text, F.lit(""))
-    rows = docs.select(docs.lang.cast("string").alias("lang"), text.alias("text"))
-    said = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    said = stored(said.where("n > 1"), "rules-words")
-    lengths = [F.sum(F.length(F.regexp_replace("text", c, "")).cast("long")) for c in CLASSES]
-    words = F.length(F.trim(F.regexp_replace("text", BLANK, " ")))
-    squeezed = F.trim(F.regexp_replace("text", BLANK, " "))
-    n_words = F.when(squeezed == "", 0).otherwise(words - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1)
-    sums = rows.groupBy("lang").agg(F.array(*lengths).alias("classes"), F.sum(F.length("text").cast("long")).alias("n_chars"), F.sum(n_words.cast("long")).alias("total_words"))
-    sums = sums.select(F.col("lang").alias("of"), "total_words", F.concat("classes", F.array(F.col("n_chars") - total(F.col("classes")))).alias("characters"))
-    sums = stored(sums, "rules-sums")
-    # at most COMMON_SHARE words of a language pass, so that ranking them is a small step
-    common = said.join(F.broadcast(sums) if sums.count() <= BROADCAST_LANGUAGES else sums, F.col("lang").eqNullSafe(F.col("of"))).where(F.col("n") * COMMON_SHARE >= F.col("total_words"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    common = common.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("common"))
-    found = sums.join(common, F.col("of").eqNullSafe(F.col("lang")), "left").select("of", "total_words", "characters", F.coalesce("common", F.array().cast("array<struct<rank:int,word:string,n:bigint>>")).alias("common"))
-    return found.select(
-        F.col("of").alias("reference"), F.col("characters").alias("reference_characters"), F.col("total_words").alias("reference_total"),
-        F.transform("common", lambda x: x["word"]).alias("reference_words"),
-        F.concat(F.transform("common", lambda x: x["n"]), F.array(F.col("total_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x["n"]))).alias("reference_counts"),
-    )
+    blanks = F.col("n_chars") - F.col("word_chars")
+    rows = rows.withColumns({"base_failed": failed, "characters": F.concat("classes", F.array(blanks, F.col("word_chars") - total(F.col("classes"))))})
+    rows = rows.join(small(words), F.col("lang").eqNullSafe(F.col("of")), "left")
+    own = F.transform("common", lambda x: (F.size("words") - F.size(F.array_remove("words", x["word"]))).cast("long"))
+    rows = rows.withColumn("own", F.when(~F.col("base_failed"), own))
+    return fenced(rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "characters", "own"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """The base measures, both distances and the verdict for every row of ``docs``."""
-    found = stored(references(docs), "rules-references")
-    small = F.broadcast(found) if found.count() <= BROADCAST_LANGUAGES else found
-    rows = measured(docs).join(small, F.col("lang").eqNullSafe(F.col("reference")), "left")
+    """The base measures, both distances and the verdict for every row of ``docs``.
+
+    The texts are read twice: for the languages' common words, and for the
+    measures, whose small table then gives the languages' character classes.
+    """
+    words = stored(common_words(docs), "rules-words")
+    rows = stored(measured(docs, words), "rules-measures")
+    places = range(len(CLASSES) + 2)
+    sums = rows.groupBy("lang").agg(F.array(*[F.sum(F.col("characters")[i]) for i in places]).alias("reference_characters")).withColumnRenamed("lang", "reference")
+    rows = rows.join(small(stored(sums, "rules-classes")), F.col("lang").eqNullSafe(F.col("reference")), "left").join(small(words), F.col("lang").eqNullSafe(F.col("of")), "left")
     fit = ~F.col("base_failed") & (F.col("reference_total") >= LEAST_REFERENCE)
-    own = F.transform("reference_words", lambda r: (F.size("words") - F.size(F.array_remove("words", r))).cast("long"))
-    rows = rows.withColumn("own", F.when(fit, own))
-    rows = rows.withColumn("own", F.concat("own", F.array(F.col("n_words") - total(F.col("own")))))
-    rows = rows.withColumns({"own_chars": total(F.col("characters")), "reference_chars": total(F.col("reference_characters"))})
+    counts = F.transform("common", lambda x: x["n"])
+    rows = rows.withColumns({
+        "own": F.concat("own", F.array(F.col("n_words") - total(F.col("own")))), "counts": F.concat(counts, F.array(F.col("reference_total") - total(counts))),
+        "own_chars": total(F.col("characters")), "reference_chars": total(F.col("reference_characters")),
+    })
     rows = rows.withColumns({
         "char_distance": F.when(fit, distance(F.col("characters"), F.col("reference_characters"), F.col("own_chars"), F.col("reference_chars"))),
-        "word_distance": F.when(fit, distance(F.col("own"), F.col("reference_counts"), F.col("n_words"), F.col("reference_total"))),
+        "word_distance": F.when(fit, distance(F.col("own"), F.col("counts"), F.col("n_words"), F.col("reference_total"))),
     })
     far = (F.coalesce("char_distance", F.lit(0.0)) > CHARACTER_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT)
     verdict = rows.withColumn("kept", ~F.col("base_failed") & ~far)
@@ -142,13 +148,14 @@ def _oracle() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS t FROM documents),
 m AS (SELECT *, regexp_extract_all(t, '{WORD}') AS words, [{counts}] AS cl, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
-c AS (SELECT *, list_concat(cl, [length(t) - list_sum(cl)]) AS characters, len(words) AS n_words FROM m),
+c AS (
+  SELECT *, list_concat(cl, [length(t) - length(array_to_string(words, '')), length(array_to_string(words, '')) - list_sum(cl)]) AS characters, len(words) AS n_words FROM m),
 w AS (SELECT row, pos, word FROM (SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM c)),
 g AS (SELECT row, pos, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS win FROM w WINDOW o AS (PARTITION BY row ORDER BY pos)),
 r AS (SELECT row, pos FROM g WHERE win IS NOT NULL QUALIFY count(*) OVER (PARTITION BY row, win) > 1),
 rep AS (SELECT row, count(DISTINCT pos + k) AS n FROM r, (VALUES (0), (1), (2)) AS v(k) GROUP BY row),
 base AS (
-  SELECT c.row, doc_id, lang, CAST(n_words AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(cl[6] AS BIGINT) AS n_symbols,
+  SELECT c.row, doc_id, lang, CAST(n_words AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(cl[{len(CLASSES)}] AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, characters
   FROM c LEFT JOIN rep ON c.row = rep.row),
 f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
@@ -163,7 +170,7 @@ cd AS (
   GROUP BY row),
 wl AS (SELECT lang, word, count(*) AS n FROM w JOIN c ON w.row = c.row GROUP BY lang, word),
 common AS (
-  SELECT wl.lang, word, n FROM wl JOIN lw ON wl.lang IS NOT DISTINCT FROM lw.lang WHERE n > 1 AND n * {COMMON_SHARE} >= total
+  SELECT wl.lang, word, n FROM wl JOIN lw ON wl.lang IS NOT DISTINCT FROM lw.lang WHERE n * {COMMON_SHARE} >= total
   QUALIFY row_number() OVER (PARTITION BY wl.lang ORDER BY n DESC, word) <= {COMMON_WORDS}),
 dw AS (SELECT row, word, count(*) AS n FROM w GROUP BY row, word),
 hist AS (
