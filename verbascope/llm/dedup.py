@@ -8,13 +8,20 @@ Jaccard similarity of their labelled runs to the power ``ell`` if those runs
 also keep their order, so the sketch follows edit similarity.
 
 Candidates share an item. No group is expanded into pairs: in each round a
-bucket names a few leaders, its members are compared with them, and then the
-leaders go. Members already known to be of a leader's class aren't compared.
-Rounds end when no bucket holds two classes, so every pair of a bucket that
-isn't connected otherwise has been compared.
-
-Check: word edit distance within a band of (1 - similarity) of the longer
-text. Verified links are closed to classes with the smallest label.
+bucket names a few leaders, its members of other classes are compared with
+them, and then the leaders go; a bucket of one class is done. Buckets of up to
+``LARGE`` members go on until every pair of theirs that isn't connected
+otherwise has been compared. A larger one that still holds several classes
+after ``ROUNDS`` rounds, each with its shortest texts in the lead, is one of
+texts that have little but a long passage in common: alike texts of that kind
+are alike to the shortest one, and what they have of their own brings them
+together in the other buckets of theirs, which are small.
+
+Check: word edit distance of at most (1 - similarity) of the longer text, by
+alignment within that band. This also holds for nearly all pairs whose sets of
+five-word runs have a Jaccard similarity of that much, and for texts with edits
+strewn over them, which that measure misses. Verified links are closed to
+classes with the smallest label.
 
 Defined cases: equal texts are one class whatever their length; a null text
 is in no class but that of its own doc_id; texts that differ in white space
@@ -40,8 +47,8 @@ from verbascope.llm.common import over_batches, stored, table
 K, ELL, ITEMS, SIMILARITY = 5, 3, 24, 0.8
 #: A worker forgets word hashes beyond so many.
 MEMORY = 200_000
-#: Leaders that a bucket names in a round, at most.
-MOST_LEADERS = 64
+#: Leaders that a bucket names, by round; rounds for all buckets; members of a bucket that is compared to the end.
+LEADERS, ROUNDS, LARGE = (1, 4, 16, 64), 2, 48
 #: Rows by columns of a block of alignments.
 BLOCK = 1 << 14
 
@@ -167,8 +174,8 @@ def _aligned(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> list[int]
     return found
 
 
-def allowed(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[int, int]:
-    """The distance that the words without their order call for at least, and the largest that a similar pair may have."""
+def bounds(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[int, int]:
+    """The distance that the words without their order call for at least, and the largest that a link may have."""
     longer = max(len(a), len(b))
     values, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
     common = np.minimum(np.bincount(codes[: len(a)], minlength=len(values)), np.bincount(codes[len(a) :], minlength=len(values))).sum()
@@ -182,15 +189,15 @@ def linked(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMIL
     to the largest that counts.
     """
     out = [False] * len(pairs)
-    bounds = [allowed(a, b, similarity) for a, b in pairs]
-    left = [(i, min(most, least + least // 8 + 2)) for i, (least, most) in enumerate(bounds) if least <= most]
+    limits = [bounds(a, b, similarity) for a, b in pairs]
+    left = [(i, min(most, least + least // 8 + 2)) for i, (least, most) in enumerate(limits) if least <= most]
     while left:
         more = []
         for (i, band), d in zip(left, distances([pairs[i] for i, _ in left], [band for _, band in left]), strict=True):
             if d <= band:
                 out[i] = True
-            elif band < bounds[i][1]:
-                more.append((i, min(bounds[i][1], 4 * band)))
+            elif band < limits[i][1]:
+                more.append((i, min(limits[i][1], 4 * band)))
         left = more
     return out
 
@@ -273,23 +280,26 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     texts = keyed.join(needed.withColumnRenamed("key", "needed"), F.col("key").eqNullSafe(F.col("needed")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     texts = stored(texts.dropDuplicates(["key", "doc_id"]).select("key", "text"), "dedup-texts")
     labels = stored(members.select("key").distinct().select("key", F.col("key").alias("label")), "dedup-labels")
-    leaders = 1
-    while True:
+    for turn in range(LARGE + 1):
+        leaders = LEADERS[min(turn, len(LEADERS) - 1)]
         placed = members.join(labels, "key")
-        mixed_buckets = placed.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("item")
-        members = stored(placed.join(mixed_buckets, "item").select("item", "key", "n_words", "label"), "dedup-members")
+        several = F.col("low") != F.col("high")
+        buckets = placed.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+        open_buckets = buckets.where(several if turn < ROUNDS else several & (F.col("size") <= LARGE)).select("item")
+        members = stored(placed.join(open_buckets, "item").select("item", "key", "n_words", "label"), "dedup-members")
         if members.isEmpty():
-            return rows.select("doc_id", "key"), labels
+            break
         slot = F.pmod(F.xxhash64("key", F.lit(leaders)), F.lit(leaders))
-        heads = members.groupBy("item", slot.alias("slot")).agg(F.min(F.struct("key", "label", "n_words")).alias("head"))
+        heads = members.groupBy("item", slot.alias("slot")).agg(F.min(F.struct("n_words", "key", "label")).alias("head"))
         heads = stored(heads.select("item", F.col("head.key").alias("b"), F.col("head.label").alias("b_label"), F.col("head.n_words").alias("b_words")), "dedup-heads")
         near = F.abs(F.col("n_words") - F.col("b_words")) <= F.floor((1 - similarity) * F.greatest("n_words", "b_words") + 1e-9)
         met = members.join(heads, "item").where((F.col("label") != F.col("b_label")) & near)
         pairs = met.select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
         links = stored(verified(pairs, texts, similarity), "dedup-links")
         members = members.join(heads.select("item", F.col("b").alias("key")), ["item", "key"], "left_anti").drop("label")
-        labels = closed(labels, links)
-        leaders = min(MOST_LEADERS, leaders * 4)
+        if not links.isEmpty():
+            labels = closed(labels, links)
+    return rows.select("doc_id", "key"), labels
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
