@@ -23,6 +23,22 @@ CORRELATION_COLUMNS = ("index", "mean", "sd", "n", "r_senseaware", "p", "r_v12_f
 DETAIL_SHEET, SUMMARY_SHEET, ABLATION_SHEET = "消歧明细", "汇总", "消融分析"
 DETAIL_HEADERS = ("短语", "义项数", "学习者例句", "金标序号", "金标释义", "预测序号", "预测释义", "是否正确", "是否平局", "相似度(各义项)", "sim差值", "等级", "短语定位", "义项例句匹配率")
 PHRASE_MODE = "phrase-from-examples (bert_phrase mode)"
+# Formats of lines of the reports.
+CORRELATION_HEAD = f"{'指标':22}{'Mean':>8}{'SD':>7}{'N':>6}{'senseAware_r':>13}{'p':>9}   {'固定级r':>8}{'docx_v6':>9}"
+CORRELATION_LINE = "{:22}{:>8}{:>7}{:6d}{:>13}{:<3}{:>8}   {:>8}{:>9}"
+REGRESSION_LINE = "  [{:22}] n={:4d} | R²词={:.4f}  R²词+短语={:.4f}  ΔR²={:+.4f}  p={:.4g} {}  (仅短语R²={:.4f})"
+REGRESSION_SKIPPED = "  [{}] n={} 太小，跳过"
+SUMMARY_LABELS = {"encoder": "编码器", "strategy": "义项锚点策略", "accuracy": "总体 Accuracy", "ties": "平局数"}
+PER_N_HEAD, PER_N_LABEL = ("义项数", "正确", "总计", "Accuracy"), "{}义项"
+ABLATION_HEADS = ("=== 短语 token 定位统计 ===", "=== 消融对比：定位成功 vs 退化为整句向量 ===")
+ABLATION_COLUMNS = ("分组", "实例数", "正确数", "Accuracy", "说明")
+ABLATION_ROWS = {"matched": ("✓ 短语定位成功", "短语 token 向量有效"), "fallback": ("✗ 退化为整句向量", "词形未匹配，整句 mean-pool 代替")}
+ABLATION_RATE, NO_ABLATION = "学习者例句定位成功率", "（仅 --encoder bert_phrase 模式下有消融数据）"
+FOUND, NOT_FOUND, NOT_ASKED, RIGHT, WRONG, TIED = "✓matched", "✗fallback", "—", "✓", "✗", "△"
+CONSOLE = {
+    "encoder": "  编码器: {}", "strategy": "  策略  : {}", "accuracy": "  总体 Accuracy: {:.1%}  ({}/{})", "ties": "  平局数: {}", "per_n": "  按义项数:", "n": "    {} 义项: {:.1%}  ({}/{})",
+    "rate": "\n  [消融分析] 短语 token 定位成功率: {:.1%}", "matched": "    ✓ 定位成功: {:.1%}  ({}/{})", "fallback": "    ✗ 退化整句: {:.1%}  ({}/{})",
+}
 
 
 def number(value: float | None, form: str) -> str:
@@ -58,60 +74,61 @@ def correlation_lines(table: DataFrame) -> list[list]:
 
 
 def correlation_console(table: DataFrame) -> str:
-    lines = [f"{'指标':22}{'Mean':>8}{'SD':>7}{'N':>6}{'senseAware_r':>13}{'p':>9}   {'固定级r':>8}{'docx_v6':>9}", "-" * 88]
+    lines = [CORRELATION_HEAD, "-" * 88]
     for r in table.orderBy("place").collect():
-        fixed, v6 = ("n.s." if r[c] is None else f"{r[c]:+.3f}" for c in ("r_v12_fixed", "r_docx_v6"))
-        lines.append(f"{r['index']:22}{number(r['mean'], '8.3f')}{number(r['sd'], '7.3f')}{r['n']:6d}{number(r['r_senseaware'], '+13.3f')}{r['sig']:<3}{number(r['p'], '8.3f')}   {fixed:>8}{v6:>9}")
+        known = ["n.s." if r[c] is None else f"{r[c]:+.3f}" for c in ("r_v12_fixed", "r_docx_v6")]
+        found = [number(r[c], form) for c, form in (("mean", ".3f"), ("sd", ".3f"), ("r_senseaware", "+.3f"), ("p", ".3f"))]
+        lines.append(CORRELATION_LINE.format(r["index"], found[0], found[1], r["n"], found[2], r["sig"], found[3], *known))
     return "\n".join(lines)
 
 
 def regression_console(table: DataFrame) -> str:
     """Overall first, then genres in their order; small groups are named as skipped."""
-    order = ["overall", LETTER, ESSAY, NARRATIVE, REPORT]
     rows = {r["grp"]: r for r in table.collect()}
     lines = []
-    for name in order:
+    for name in ("overall", LETTER, ESSAY, NARRATIVE, REPORT):
         if (r := rows.get(name)) is None:
             continue
-        label = GENRE_NAMES[name]
         if r["status"] == "skipped":
-            lines.append(f"  [{label}] n={r['n']} 太小，跳过")
+            lines.append(REGRESSION_SKIPPED.format(GENRE_NAMES[name], r["n"]))
         else:
-            lines.append(f"  [{label:22}] n={r['n']:4d} | R²词={r['r2_word']:.4f}  R²词+短语={r['r2_both']:.4f}  ΔR²={r['delta_r2']:+.4f}  p={r['p']:.4g} {'sig' if r['sig'] else 'ns'}  (仅短语R²={r['r2_phrase']:.4f})")
+            lines.append(REGRESSION_LINE.format(GENRE_NAMES[name], r["n"], r["r2_word"], r["r2_both"], r["delta_r2"], r["p"], "sig" if r["sig"] else "ns", r["r2_phrase"]))
     return "\n".join(lines)
 
 
+def detail_lines(details: DataFrame) -> list[list]:
+    out: list[list] = [list(DETAIL_HEADERS)]
+    for r in details.orderBy("phrase", "gold_no").collect():
+        marks = [RIGHT if r["is_correct"] else WRONG, TIED if r["is_tie"] else ""]
+        place = {None: NOT_ASKED, True: FOUND, False: NOT_FOUND}[r["target_matched"]]
+        rate = NOT_ASKED if r["sense_match_rate"] is None else f"{r['sense_match_rate']:.0%}"
+        texts = [r[c] for c in ("phrase", "n_senses", "target", "gold_no", "gold_def", "pred_no", "pred_def")]
+        out.append([*texts, *marks, " | ".join(f"{s:.3f}" for s in r["sims"]), round(r["sim_gap"], 4), r["level"], place, rate])
+    return out
+
+
 def evaluation_workbook(details: DataFrame, encoder: str, strategy: str) -> bytes:
     """Details, summary and ablation of an evaluation as a workbook."""
-    rows = details.orderBy("phrase", "gold_no").collect()
-    lines: list[list] = [list(DETAIL_HEADERS)]
-    for r in rows:
-        place = "—" if r["target_matched"] is None else "✓matched" if r["target_matched"] else "✗fallback"
-        rate = "—" if r["sense_match_rate"] is None else f"{r['sense_match_rate']:.0%}"
-        lines.append([
-            r["phrase"], r["n_senses"], r["target"], r["gold_no"], r["gold_def"], r["pred_no"], r["pred_def"], "✓" if r["is_correct"] else "✗", "△" if r["is_tie"] else "",
-            " | ".join(f"{s:.3f}" for s in r["sims"]), round(r["sim_gap"], 4), r["level"], place, rate,
-        ])
     total = wsd.summary(details).first()
-    sums: list[list] = [["指标", "值"], ["编码器", encoder], ["义项锚点策略", strategy], ["总体 Accuracy", f"{total['accuracy']:.1%}  ({total['correct']}/{total['total']})"], ["平局数", total["ties"]], [""], ["义项数", "正确", "总计", "Accuracy"]]
-    sums += [[f"{r['n_senses']}义项", r["correct"], r["total"], f"{r['accuracy']:.1%}"] for r in wsd.per_n(details).orderBy("n_senses").collect()]
+    values = {"encoder": encoder, "strategy": strategy, "accuracy": f"{total['accuracy']:.1%}  ({total['correct']}/{total['total']})", "ties": total["ties"]}
+    sums: list[list] = [["指标", "值"], *([label, values[k]] for k, label in SUMMARY_LABELS.items()), [""], list(PER_N_HEAD)]
+    sums += [[PER_N_LABEL.format(r["n_senses"]), r["correct"], r["total"], f"{r['accuracy']:.1%}"] for r in wsd.per_n(details).orderBy("n_senses").collect()]
     parts = {r["status"]: r for r in wsd.ablation(details).collect()}
+    split: list[list] = [[NO_ABLATION]]
     if parts:
-        split: list[list] = [["=== 短语 token 定位统计 ==="], ["学习者例句定位成功率", f"{wsd.match_rate(details).first()[0]:.1%}"], [], ["=== 消融对比：定位成功 vs 退化为整句向量 ==="], ["分组", "实例数", "正确数", "Accuracy", "说明"]]
-        for status, label, note in (("matched", "✓ 短语定位成功", "短语 token 向量有效"), ("fallback", "✗ 退化为整句向量", "词形未匹配，整句 mean-pool 代替")):
-            if status in parts:
-                split.append([label, parts[status]["total"], parts[status]["correct"], f"{parts[status]['accuracy']:.1%}", note])
-    else:
-        split = [["（仅 --encoder bert_phrase 模式下有消融数据）"]]
-    return workbook({DETAIL_SHEET: lines, SUMMARY_SHEET: sums, ABLATION_SHEET: split})
+        rate = wsd.match_rate(details).first()[0]
+        split = [[ABLATION_HEADS[0]], [ABLATION_RATE, f"{rate:.1%}"], [], [ABLATION_HEADS[1]], list(ABLATION_COLUMNS)]
+        split += [[label, parts[k]["total"], parts[k]["correct"], f"{parts[k]['accuracy']:.1%}", note] for k, (label, note) in ABLATION_ROWS.items() if k in parts]
+    return workbook({DETAIL_SHEET: detail_lines(details), SUMMARY_SHEET: sums, ABLATION_SHEET: split})
 
 
 def evaluation_console(details: DataFrame, encoder: str, strategy: str) -> str:
     total = wsd.summary(details).first()
-    lines = [f"  编码器: {encoder}", f"  策略  : {strategy}", f"  总体 Accuracy: {total['accuracy']:.1%}  ({total['correct']}/{total['total']})", f"  平局数: {total['ties']}", "  按义项数:"]
-    lines += [f"    {r['n_senses']} 义项: {r['accuracy']:.1%}  ({r['correct']}/{r['total']})" for r in wsd.per_n(details).orderBy("n_senses").collect()]
+    values = {"encoder": [encoder], "strategy": [strategy], "accuracy": [total["accuracy"], total["correct"], total["total"]], "ties": [total["ties"]], "per_n": []}
+    lines = [CONSOLE[k].format(*v) for k, v in values.items()]
+    lines += [CONSOLE["n"].format(r["n_senses"], r["accuracy"], r["correct"], r["total"]) for r in wsd.per_n(details).orderBy("n_senses").collect()]
     parts = {r["status"]: r for r in wsd.ablation(details).collect()}
     if parts:
-        lines.append(f"\n  [消融分析] 短语 token 定位成功率: {wsd.match_rate(details).first()[0]:.1%}")
-        lines += [f"    {label}: {parts[s]['accuracy']:.1%}  ({parts[s]['correct']}/{parts[s]['total']})" for s, label in (("matched", "✓ 定位成功"), ("fallback", "✗ 退化整句")) if s in parts]
+        lines.append(CONSOLE["rate"].format(wsd.match_rate(details).first()[0]))
+        lines += [CONSOLE[k].format(parts[k]["accuracy"], parts[k]["correct"], parts[k]["total"]) for k in ABLATION_ROWS if k in parts]
     return "\n".join(lines)
