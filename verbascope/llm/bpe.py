@@ -31,8 +31,8 @@ WHITE = r"\t-\r\x20\x85\xa0  -     　"
 #: Above all ranks.
 NO_PAIR = 1 << 40
 
-#: A worker forgets its pieces beyond so many; they are only remembered for speed.
-MEMORY = 300_000
+#: A worker remembers so many pieces of late and as many from before them, for speed only.
+MEMORY = 350_000
 #: Longer pieces are not remembered.
 MEMORY_CHARS = 64
 
@@ -91,6 +91,26 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Recent(dict):
+    """A bounded memory in two generations: what is used again outlives the older one."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > MEMORY_CHARS:
+                return value
+        if len(self) >= MEMORY:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Codec:
     """Encodes and decodes texts by ``ranks``, each match of ``pattern`` on its own, without special tokens."""
 
@@ -98,55 +118,49 @@ class Codec:
         self.ranks = ranks
         self.split = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.vocabulary = {v: k for k, v in ranks.items()}
+        self.names = {v: str(v) for v in ranks.values()}
         #: A single blank between two characters that no engine calls white always starts a match, so texts can be cut there.
         self.cut = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
         self.uneven = regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] |\A | \Z")
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.chunks = Recent(self.chunk)
+        self.pieces = Recent(lambda piece: merge(piece.encode(), ranks))
 
     def chunk(self, text: str) -> bytes:
         """The ids of a stretch of text as little-endian 32-bit integers."""
         out: list[int] = []
         for piece in self.split.findall(text):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = merge(piece.encode(), self.ranks)
-                if len(piece) <= MEMORY_CHARS:
-                    if len(self.pieces) >= MEMORY:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out += ids
+            out += self.pieces[piece]
         return array("I", out).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        parts = self.cut.split(text) if self.uneven.search(text) else text.split(" ")
-        known, out = self.known, []
-        first = True
-        for part in parts:
-            part = part if first else " " + part
-            first = False
-            ids = known.get(part)
-            if ids is None:
-                ids = self.chunk(part)
-                if len(part) <= MEMORY_CHARS:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[part] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<u4")
+        if self.uneven.search(text):
+            first, *rest = self.cut.split(text)
+        else:
+            first, *rest = text.split(" ")
+        ids = map(self.chunks.__getitem__, [f" {x}" for x in rest])
+        return np.frombuffer(self.chunks[first] + b"".join(ids), "<u4")
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
 
+#: The codec of this process, by ranks and pattern.
+_codecs: dict[str, Codec] = {}
+
+
 def with_codec(df: DataFrame, schema: str, path: str, pattern: str, row: Callable[[Codec, pa.RecordBatch], dict]) -> DataFrame:
-    """``row`` over the batches of ``df``, with a codec for each task. The ranks, a file of fixed size, are broadcast."""
-    shipped = df.sparkSession.sparkContext.broadcast(load_ranks(path))
+    """``row`` over the batches of ``df``, with a codec that a worker's tasks share. The ranks, a file of fixed size, are broadcast."""
+    ranks = load_ranks(path)
+    shipped = df.sparkSession.sparkContext.broadcast(ranks)
+    name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
     def make():
-        codec = Codec(shipped.value, pattern)
+        if name not in _codecs:
+            _codecs.clear()
+            _codecs[name] = Codec(shipped.value, pattern)
+        codec = _codecs[name]
         return lambda batch: row(codec, batch)
 
     return over_batches(df, schema, make)
@@ -180,7 +194,7 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
         for text in batch["text"].to_pylist():
             ids = codec.encode(text).tolist()
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(" ".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
         return out
 
