@@ -50,7 +50,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n = len(piece)
     rank = ranks.get
-    size = 1 << (n - 1).bit_length()
+    size = 1 << max(0, n - 2).bit_length()  # one leaf for each pair
     tree = [NO_PAIR] * (2 * size)
     tree[size : size + n - 1] = [rank(piece[i : i + 2], NO_PAIR) for i in range(n - 1)]
     for i in range(size - 1, 0, -1):
@@ -69,21 +69,29 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         gone = end[left]
         stop = end[left] = end[gone]
         before[stop] = left
-        changed = [(gone, NO_PAIR), (left, rank(piece[left : end[stop]], NO_PAIR) if stop < n else NO_PAIR)]
-        prior = before[left]
-        if prior >= 0:
-            changed.append((prior, rank(piece[prior:stop], NO_PAIR)))
-        for at, value in changed:
-            at += size
-            tree[at] = value
-            while at > 1:
-                a = tree[at ^ 1]
-                if a < value:
-                    value = a
-                at >>= 1
-                if tree[at] == value:
-                    break
-                tree[at] = value
+        # leaves change first, then what stands above them, level by level, each node once
+        one, two, three = left + size, gone + size, before[left] + size
+        tree[one] = rank(piece[left : end[stop]], NO_PAIR) if stop < n else NO_PAIR
+        if gone < size:
+            tree[two] = NO_PAIR
+        else:
+            two = one
+        if three >= size:
+            tree[three] = rank(piece[three - size : stop], NO_PAIR)
+        else:
+            three = one
+        while one > 1:
+            one >>= 1
+            two >>= 1
+            three >>= 1
+            a, b = tree[2 * one], tree[2 * one + 1]
+            tree[one] = a if a <= b else b
+            if two != one:
+                a, b = tree[2 * two], tree[2 * two + 1]
+                tree[two] = a if a <= b else b
+            if three != one and three != two:
+                a, b = tree[2 * three], tree[2 * three + 1]
+                tree[three] = a if a <= b else b
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : end[at]]])
@@ -111,26 +119,45 @@ class Recent(dict):
         return value
 
 
+class Bytes:
+    """The bytes that stand for ids, gathered for many ids at once."""
+
+    def __init__(self, items: dict[int, bytes]):
+        self.lengths = np.zeros(max(items, default=-1) + 1, np.int64)
+        for i, x in items.items():
+            self.lengths[i] = len(x)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(items[i] for i in sorted(items)), np.uint8)
+
+    def __call__(self, ids: Iterable[int]) -> bytes:
+        ids = np.asarray(ids, np.int64)
+        lengths = self.lengths[ids]
+        if not lengths.all():
+            raise ValueError("an id that isn't known")
+        ends = np.cumsum(lengths)
+        places = np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ids) else 0)
+        return self.blob[places].tobytes()
+
+
 class Codec:
     """Encodes and decodes texts by ``ranks``, each match of ``pattern`` on its own, without special tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
-        self.vocabulary = {v: k for k, v in ranks.items()}
-        self.names = {v: str(v) for v in ranks.values()}
+        #: What ids decode to, and their decimal names with a blank behind each.
+        self.decode = Bytes({v: k for k, v in ranks.items()})
+        self.names = Bytes({v: b"%d " % v for v in ranks.values()})
         #: A single blank between two characters that no engine calls white always starts a match, so texts can be cut there.
         self.cut = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
         self.uneven = regex.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] |\A | \Z")
         self.chunks = Recent(self.chunk)
-        self.pieces = Recent(lambda piece: merge(piece.encode(), ranks))
+        # bytes, which the garbage collector needn't visit
+        self.pieces = Recent(lambda piece: array("I", merge(piece.encode(), ranks)).tobytes())
 
     def chunk(self, text: str) -> bytes:
         """The ids of a stretch of text as little-endian 32-bit integers."""
-        out: list[int] = []
-        for piece in self.split.findall(text):
-            out += self.pieces[piece]
-        return array("I", out).tobytes()
+        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -142,9 +169,6 @@ class Codec:
         ids = map(self.chunks.__getitem__, [f" {x}" for x in rest])
         return np.frombuffer(self.chunks[first] + b"".join(ids), "<u4")
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids))
-
 
 #: The codec of this process, by ranks and pattern.
 _codecs: dict[str, Codec] = {}
@@ -192,9 +216,9 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
     def row(codec: Codec, batch: pa.RecordBatch) -> dict:
         out: dict = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for text in batch["text"].to_pylist():
-            ids = codec.encode(text).tolist()
+            ids = codec.encode(text)
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(" ".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(codec.names(ids)[:-1]).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
         return out
 
