@@ -116,6 +116,27 @@ def test_a_large_group_of_near_copies_and_a_common_passage(spark):
     assert {got[i] for i in range(150)} == {0} and all(got[i] == i for i in range(150, 270))
 
 
+def test_pairs_that_share_only_a_passage_of_many(spark):
+    """Near copies whose own parts have no run of words in common, in buckets of more than 48 texts."""
+    passage, texts, sketch = [f"p{i}" for i in range(400)], [], dedup.Sketcher()
+    for i in range(70):
+        own = [f"o{i}-{k}" for k in range(130)]
+        texts += [passage + own, passage + [f"e{i}-{k}" if k % 4 == 0 else w for k, w in enumerate(own)]]
+    items = [set(sketch(words).tolist()) for words in texts]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_duplicates(docs).collect()}
+    meet = [bool(items[i] & items[i + 1]) for i in range(0, len(texts), 2)]
+    assert sum(meet) > 60
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 * meet[i // 2] for i in range(len(texts))]
+
+
+def test_bits_never_rule_out_a_link():
+    rng = random.Random(9)
+    for a, b in [pair(rng, rng.randrange(200), words) for words in (3, 50, 10**6) for _ in range(100)]:
+        x, y = (set(np.flatnonzero(np.unpackbits(dedup.word_bits(t).view(np.uint8)))) for t in (a, b))
+        assert max(len(x), len(y)) - len(x & y) <= dedup.bounds(a, b, 0.8)[0]
+
+
 EDGES = [
     (1, None, "a"), (2, None, "b"), (None, "same text of a few words here", "c"), (3, "same text of a few words here", "d"), (3, "same text of a few words here", "d"),
     (4, "", "e"), (5, "", "f"), (6, "  \n ", "g"), (7, "word", "h"), (8, " word\n", "i"), (9, "long " * 20000, "j"), (10, "long " * 19990, "k"), (None, None, "l"),

@@ -7,15 +7,13 @@ order is one item. Two texts share an item with a probability near the
 Jaccard similarity of their labelled runs to the power ``ell`` if those runs
 also keep their order, so the sketch follows edit similarity.
 
-Candidates share an item. No group is expanded into pairs: in each round a
-bucket names a few leaders, its members of other classes are compared with
-them, and then the leaders go; a bucket of one class is done. Buckets of up to
-``LARGE`` members go on until every pair of theirs that isn't connected
-otherwise has been compared. A larger one that still holds several classes
-after ``ROUNDS`` rounds, each with its shortest texts in the lead, is one of
-texts that have little but a long passage in common: alike texts of that kind
-are alike to the shortest one, and what they have of their own brings them
-together in the other buckets of theirs, which are small.
+Candidates share an item. In each of a few rounds a bucket names leaders, its
+members of other classes are compared with them, and then the leaders go; a
+bucket of one class is done. What is left, of whatever size, is compared to the
+end: all pairs of a bucket that aren't of one class yet meet in one join, whose
+condition leaves out only pairs that can't be alike by their lengths or by the
+words that one has and the other hasn't. So every pair that shares an item is
+connected, ruled out by a bound, or aligned.
 
 Check: word edit distance of at most (1 - similarity) of the longer text, by
 alignment within that band. This also holds for nearly all pairs whose sets of
@@ -47,8 +45,10 @@ from verbascope.llm.common import over_batches, stored, table
 K, ELL, ITEMS, SIMILARITY = 5, 3, 24, 0.8
 #: A worker forgets word hashes beyond so many.
 MEMORY = 200_000
-#: Leaders that a bucket names, by round; rounds for all buckets; members of a bucket that is compared to the end.
-LEADERS, ROUNDS, LARGE = (1, 4, 16, 64), 2, 48
+#: Leaders that a bucket names, by round; all pairs that are left are compared after that.
+LEADERS = (1, 4)
+#: Longs of a bit set of a text's words.
+LONGS = 64
 #: Rows by columns of a block of alignments.
 BLOCK = 1 << 14
 
@@ -268,6 +268,46 @@ def closed(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(labels.join(parents.select(F.col("x").alias("label"), "root"), "label", "left").select("key", F.coalesce("root", "label").alias("label")), "dedup-labels")
 
 
+def word_bits(words: np.ndarray) -> np.ndarray:
+    """A bit for each word and how often it came before; texts may share bits by chance, but a bit that one lacks is a word that it lacks."""
+    bits = np.zeros(64 * LONGS, np.uint8)
+    if len(words):
+        with np.errstate(over="ignore"):
+            bits[Sketcher(k=1).labelled(words) % np.uint64(len(bits))] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def with_bits(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``members`` with the bit sets of their texts."""
+
+    def make():
+        known = WordHash()
+
+        def step(batch: pa.RecordBatch) -> dict:
+            made = [word_bits(np.fromiter(map(known.__getitem__, words_of(x)), np.uint64, -1)) for x in batch["text"].to_pylist()]
+            return {"key": batch["key"], "bits": pa.array([x.tolist() for x in made], pa.list_(pa.int64()))}
+
+        return step
+
+    bits = over_batches(texts.join(members.select("key").distinct(), "key", "left_semi").select("key", "text"), "key binary, bits array<long>", make)
+    return members.join(bits, "key").withColumn("ones", F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x)))
+
+
+def near(similarity: float) -> tuple[Column, Column]:
+    """Whether the lengths of a member and of ``b`` allow a link, and the largest distance that a link of theirs may have."""
+    most = F.floor((1 - similarity) * F.greatest("n_words", "b_words") + 1e-9)
+    return F.abs(F.col("n_words") - F.col("b_words")) <= most, most
+
+
+def left_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of members (item, key, n_words, label, bits, ones) of a bucket and of several classes that no bound rules out."""
+    other = members.select("item", *[F.col(c).alias(f"b_{c}") for c in ("key", "label", "bits", "ones")], F.col("n_words").alias("b_words"))
+    by_length, most = near(similarity)
+    common = F.aggregate(F.zip_with("bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    met = members.join(other, (members.item == other.item) & (F.col("key") > F.col("b_key")) & (F.col("label") != F.col("b_label")) & by_length & (F.greatest("ones", "b_ones") - common <= most))
+    return met.select(F.col("key").alias("a"), F.col("b_key").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, key) of ``docs`` with a text, and key, label of the texts that are alike to a different one."""
     rows = stored(sketches(docs), "dedup-sketches")
@@ -280,23 +320,22 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     texts = keyed.join(needed.withColumnRenamed("key", "needed"), F.col("key").eqNullSafe(F.col("needed")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     texts = stored(texts.dropDuplicates(["key", "doc_id"]).select("key", "text"), "dedup-texts")
     labels = stored(members.select("key").distinct().select("key", F.col("key").alias("label")), "dedup-labels")
-    for turn in range(LARGE + 1):
-        leaders = LEADERS[min(turn, len(LEADERS) - 1)]
+    for leaders in (*LEADERS, None):
         placed = members.join(labels, "key")
-        several = F.col("low") != F.col("high")
-        buckets = placed.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-        open_buckets = buckets.where(several if turn < ROUNDS else several & (F.col("size") <= LARGE)).select("item")
+        open_buckets = placed.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("item")
         members = stored(placed.join(open_buckets, "item").select("item", "key", "n_words", "label"), "dedup-members")
         if members.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("key", F.lit(leaders)), F.lit(leaders))
-        heads = members.groupBy("item", slot.alias("slot")).agg(F.min(F.struct("n_words", "key", "label")).alias("head"))
-        heads = stored(heads.select("item", F.col("head.key").alias("b"), F.col("head.label").alias("b_label"), F.col("head.n_words").alias("b_words")), "dedup-heads")
-        near = F.abs(F.col("n_words") - F.col("b_words")) <= F.floor((1 - similarity) * F.greatest("n_words", "b_words") + 1e-9)
-        met = members.join(heads, "item").where((F.col("label") != F.col("b_label")) & near)
-        pairs = met.select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
+        if leaders is None:
+            pairs = left_pairs(stored(with_bits(members, texts), "dedup-bits"), similarity)
+        else:
+            slot = F.pmod(F.xxhash64("key", F.lit(leaders)), F.lit(leaders))
+            heads = members.groupBy("item", slot.alias("slot")).agg(F.min(F.struct("n_words", "key", "label")).alias("head"))
+            heads = stored(heads.select("item", F.col("head.key").alias("b"), F.col("head.label").alias("b_label"), F.col("head.n_words").alias("b_words")), "dedup-heads")
+            met = members.join(heads, "item").where((F.col("label") != F.col("b_label")) & near(similarity)[0])
+            pairs = met.select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
+            members = members.join(heads.select("item", F.col("b").alias("key")), ["item", "key"], "left_anti").drop("label")
         links = stored(verified(pairs, texts, similarity), "dedup-links")
-        members = members.join(heads.select("item", F.col("b").alias("key")), ["item", "key"], "left_anti").drop("label")
         if not links.isEmpty():
             labels = closed(labels, links)
     return rows.select("doc_id", "key"), labels
