@@ -128,7 +128,7 @@ def lemma_tokens(rows: DataFrame, factory: Callable[[], Analyzer], text: str = "
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         analyzer = factory()
-        for part in parts:
+        for part in (whole.iloc[at : at + 64] for whole in parts for at in range(0, len(whole), 64)):  # tokens of whole texts take memory
             found = analyzer.analyze(part[text].fillna("").tolist())
             yield part.assign(lemmas=[[{"lemma": lemma.lower(), "orig": w.lower(), "cs": s, "ce": e} for w, _, lemma, s, e in t] for t in found])
 
