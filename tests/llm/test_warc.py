@@ -61,6 +61,15 @@ def test_magic_inside_members(tmp_path):
         assert found == payloads
 
 
+def test_a_header_block_of_any_length(tmp_path):
+    url = "data:;base64," + "".join(random.Random(6).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000))
+    data = warc.record(1, "u", b"a", "d", None) + warc.record(2, url, b"b", "d", None) + warc.record(3, "u", b"c", "d", None)
+    path = tmp_path / "a.gz"
+    path.write_bytes(data)
+    with open(path, "rb") as f:
+        assert [warc.parse(x)["payload"] for x in warc.owned(warc.Source(f, len(data)), 0, len(data))] == [b"a", b"b", b"c"]
+
+
 def test_broken_members(tmp_path):
     one = warc.record(1, "u", b"payload", "d", None)
     path = tmp_path / "a.gz"

@@ -39,8 +39,6 @@ MOST_TASKS = 50_000
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.0\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-#: A member's header block must end within so many bytes to count as one.
-HEADER_BYTES = 1 << 16
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -122,12 +120,12 @@ def member(source: Source, start: int, test_only: bool = False) -> tuple[bytes,
         at += len(data) - len(unpack.unused_data)
         out.append(got)
         size += len(got)
-        if not proven and (size >= HEADER_BYTES or unpack.eof or size >= len(VERSION)):
+        if not proven and (unpack.eof or size >= len(VERSION)):
             head = b"".join(out)
             if not head.startswith(VERSION):
                 return None
             proven = b"\r\n\r\n" in head and re.search(rb"\r\nContent-Length: \d+\r\n", head) is not None
-            if not proven and (size >= HEADER_BYTES or unpack.eof):
+            if not proven and unpack.eof:
                 return None
             if proven and test_only:
                 return head, at
