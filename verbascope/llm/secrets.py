@@ -38,7 +38,13 @@ KINDS = ("assign", "access", "hex", "literal")
 
 NAME_CHARS = 128
 OPERATOR = re.compile(r":=|=>|(?<![=!<>:])=(?![=>])|:(?![:=/])")
-NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)(["']?)[ \t]*\Z""")
+NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)(["']?|["'][ \t]*\])[ \t]*\Z""")
+#: A name and the type that follows it.
+TYPED_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)[ \t]*:[ \t]*[A-Za-z_][A-Za-z0-9_.\[\], |]{0,63}\Z""")
+#: What may stand between an operator and a literal that isn't right behind it.
+OPENED = re.compile(r"[ \t]*(?:\([ \t]*)?(?:\r?\n[ \t]*)?")
+KEY = re.compile(r"[ \t]*[:=]")
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.\-]{0,127})>([^<>]+)</\1>")
 BLANKS = re.compile(r"[ \t]*")
 LITERAL = re.compile(r"""[bBrRuU]{0,2}(?:\"\"\"(.*?)\"\"\"|'''(.*?)'''|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""", re.DOTALL)
 BARE = re.compile(r"""[^\s"'`,;|(){}\[\]<>#]+""")
@@ -118,23 +124,34 @@ def literal_spans(text: str) -> list[Span]:
     constants: dict[str, list[tuple[int, int]]] = {}
     for m in OPERATOR.finditer(text):
         left = max(0, m.start() - NAME_CHARS - 4)
-        named = NAME_BEFORE.search(text[left : m.start()])
-        if not named or len(named[1]) > NAME_CHARS:
+        before = text[left : m.start()]
+        named = NAME_BEFORE.search(before)
+        typed = TYPED_BEFORE.search(text[max(0, left - 66) : m.start()]) if m[0] == "=" else None
+        names = [x[1] for x in (named, typed) if x and len(x[1]) <= NAME_CHARS]
+        if not names:
             continue
-        name = named[1]
         parsed, _ = terms(text, m.end())
+        if not parsed:
+            at = OPENED.match(text, m.end()).end()
+            if (first := LITERAL.match(text, at)) and not KEY.match(text, first.end()):
+                parsed, _ = terms(text, at)
         places: list[tuple[int, int]] = []
         for kind, start, end in parsed:
             known = constants.get(text[start:end]) if kind == "bare" and CONSTANT.match(text[start:end]) else None
             places += known if known is not None else [(start, end)]
         if not places:
             continue
-        constants[name] = places
-        worth = sensitivity(name)
+        for name in names:
+            constants[name] = places
+        worth = max(map(sensitivity, names))
         if worth and worth + strength("".join(text[a:b] for a, b in places)) >= THRESHOLD:
             for a, b in places:
                 if a < b:
                     found[a, b] = Span("literal", a, b, a, b)
+    for m in ELEMENT.finditer(text):
+        worth = sensitivity(m[1])
+        if worth and worth + strength(m[2]) >= THRESHOLD:
+            found[m.span(2)] = Span("literal", *m.span(2), *m.span(2))
     return list(found.values())
 
 
