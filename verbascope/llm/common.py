@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; set here only where the session has none, as in tests."""
+    """The folder all executors see; a session on one machine that has none, as in tests, gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="verbascope-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -42,6 +44,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Shelf:
+    """A folder of intermediate tables, deleted once the work that needs them is done without an error.
+
+    What is returned from inside must not read them any more when it is used.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, fresh_dir(spark, name), 0
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        path = f"{self.path}/{self.tables}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, error, *_) -> None:
+        if error is None:
+            remove(self.spark, self.path)
+
+
 def folded(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))) % modulus
