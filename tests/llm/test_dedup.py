@@ -130,11 +130,22 @@ def test_pairs_that_share_only_a_passage_of_many(spark):
     assert [got[i] for i in range(len(texts))] == [i - i % 2 * meet[i // 2] for i in range(len(texts))]
 
 
-def test_bits_never_rule_out_a_link():
+def test_rarest_words_never_rule_out_a_link():
     rng = random.Random(9)
     for a, b in [pair(rng, rng.randrange(200), words) for words in (3, 50, 10**6) for _ in range(100)]:
-        x, y = (set(np.flatnonzero(np.unpackbits(dedup.word_bits(t).view(np.uint8)))) for t in (a, b))
-        assert max(len(x), len(y)) - len(x & y) <= dedup.bounds(a, b, 0.8)[0]
+        counts = np.array([rng.randrange(9) for _ in range(64)])
+        if max(len(a), len(b)) and dedup.linked([(a, b)])[0]:
+            assert set(dedup.rarest(a, counts, 0.8).tolist()) & set(dedup.rarest(b, counts, 0.8).tolist())
+
+
+def test_least_of_long_rows():
+    rng = np.random.default_rng(4)
+    sketch = dedup.Sketcher()
+    for n in (4, 129, 3000):
+        order = rng.integers(0, 1 << 63, (24, n)).astype(np.uint64) * np.uint64(2)
+        order[0] = np.sort(order[0])[::-1] if n < 1000 else order[0] | np.uint64(1 << 63)
+        got, true = sketch.least(order), np.argsort(order, axis=1)[:, :3]
+        assert [set(x) for x in got.tolist()] == [set(x) for x in true.tolist()]
 
 
 EDGES = [
@@ -170,3 +181,57 @@ def test_similarity_is_a_parameter(spark, similarity):
     texts = [" ".join(words), " ".join(words[:90] + ["x"] * 10)]
     rows = dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similarity)
     assert len({r["class_id"] for r in rows.collect()}) == (1 if similarity < 0.9 else 2)
+
+
+def test_no_link_is_lost_in_a_bucket_of_over_a_thousand(spark):
+    """Over 1,000 texts share a passage and its items; pairs of them are near copies, by edits in what is their own."""
+    rng, sketch = random.Random(12), dedup.Sketcher()
+    passage, texts = [f"p{i}" for i in range(130)], []
+    for _ in range(700):
+        own = [f"{rng.randrange(900)}" for _ in range(45)]
+        near = list(own)
+        for k in rng.sample(range(45), 12):
+            near[k] = f"e{rng.randrange(900)}"
+        texts += [" ".join(own[:30] + passage + own[30:]), " ".join(near[:30] + passage + near[30:])]
+    words = [sketch.hashes(t.split()) for t in texts]
+    items = [set(sketch(t.split()).tolist()) for t in texts]
+    by_item = {}
+    for i, x in enumerate(items):
+        for item in x:
+            by_item.setdefault(item, []).append(i)
+    assert max(map(len, by_item.values())) > 1000
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    # all pairs that share an item and have words enough in common, aligned
+    column, has = {}, np.zeros((len(texts), 20_000), np.float32)
+    for i, w in enumerate(words):
+        for x in dedup.occurrences(w).tolist():
+            has[i, column.setdefault(x, len(column))] = 1
+    overlap = has @ has.T
+    close = [(i, j) for i, j in np.argwhere(np.triu(overlap >= 140, 1)).tolist() if items[i] & items[j]]
+    links = [p for p, alike in zip(close, dedup.linked([(words[i], words[j]) for i, j in close]), strict=True) if alike]
+    assert len(links) >= 600
+    for i, j in links:
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_duplicates(docs).collect()}
+    assert [i for i, j in links if got[i] != got[j]] == []
+    assert [got[i] for i in range(len(texts))] == [root(i) for i in range(len(texts))]
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    from verbascope.llm.common import shared_dir
+
+    docs = spark.createDataFrame(list(enumerate(corpus(random.Random(3)))), "doc_id long, text string")
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://").removeprefix("file:")))
+    dedup.near_duplicates(docs)
+    dedup.distinct_documents(docs)
+    left = set(os.listdir(shared_dir(spark).removeprefix("file://").removeprefix("file:"))) - before
+    assert sorted(x.rsplit("-", 1)[0] for x in left) == ["dedup-winners", "near-duplicates"]

@@ -7,26 +7,36 @@ order is one item. Two texts share an item with a probability near the
 Jaccard similarity of their labelled runs to the power ``ell`` if those runs
 also keep their order, so the sketch follows edit similarity.
 
-Candidates share an item. In each of a few rounds a bucket names leaders, its
-members of other classes are compared with them, and then the leaders go; a
-bucket of one class is done. What is left, of whatever size, is compared to the
-end: all pairs of a bucket that aren't of one class yet meet in one join, whose
-condition leaves out only pairs that can't be alike by their lengths or by the
-words that one has and the other hasn't. So every pair that shares an item is
-connected, ruled out by a bound, or aligned.
-
-Check: word edit distance of at most (1 - similarity) of the longer text, by
-alignment within that band. This also holds for nearly all pairs whose sets of
-five-word runs have a Jaccard similarity of that much, and for texts with edits
-strewn over them, which that measure misses. Verified links are closed to
-classes with the smallest label.
+Candidates share an item. First each text is compared with one leader, the
+first member of most of its buckets, which joins groups of copies at a cost in
+proportion to their rows; that is done ``LEADER_ROUNDS`` times with other
+leaders. What is then left in buckets of several classes, of whatever size, is
+compared to the end: a link needs so many words in common that two linked
+texts share one of their rarest words (the prefix filter of similarity joins),
+so the texts meet by those words, in lists that are made distinct before they
+become pairs. Every pair that shares an item is thus connected, ruled out by
+its lengths or its rarest words, or aligned.
+
+Check: word edit distance of at most (1 - similarity) of the longer text. What
+both texts begin and end with is taken off, and the rest is aligned within a
+band that widens until a path cheap enough is found, or none can be. This also
+holds for nearly all pairs whose sets of five-word runs have a Jaccard
+similarity of that much, and for texts with edits strewn over them, which that
+measure misses. Verified links are closed to classes.
+
+Cost: a group of m texts that are all close to the threshold from each other
+without being alike has up to m * m / 2 pairs that nothing but an alignment
+can tell apart; they are all aligned.
 
 Defined cases: equal texts are one class whatever their length; a null text
 is in no class but that of its own doc_id; texts that differ in white space
 only are alike; a text without words is alike to equal texts only; a null
 doc_id gets a class like any other, named by the smallest id of the class
-that isn't null. A class is named by its smallest doc_id; ``kept`` holds for
-that document, and for all rows that repeat its id and text.
+that isn't null. A class is named by its smallest doc_id; of several texts
+with that id the one of least digest counts. ``kept`` holds for that document,
+and for all rows that repeat its id and text. Very long texts are sketched and
+aligned whole. An empty table gives no rows; columns other than doc_id and
+text are neither read nor in the way, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,18 +49,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbascope.llm.common import over_batches, stored, table
+from verbascope.llm.common import Shelf, over_batches, stored, table
 
 #: Words to a run, runs to an item, items to a sketch; least similarity of a link.
 K, ELL, ITEMS, SIMILARITY = 5, 3, 24, 0.8
 #: A worker forgets word hashes beyond so many.
 MEMORY = 200_000
-#: Leaders that a bucket names, by round; all pairs that are left are compared after that.
-LEADERS = (1, 4)
-#: Longs of a bit set of a text's words.
-LONGS = 64
-#: Rows by columns of a block of alignments.
-BLOCK = 1 << 14
+#: Times that each text is compared with a leader before all that is left is compared.
+LEADER_ROUNDS = 2
+#: Parts into which a hot bucket is split before it is joined.
+SALTS = 63
+#: Slots of the counts that order words by how rare they are; 8 bytes each.
+SLOTS = 1 << 20
+#: Members to a list of the texts that have a rare word.
+LISTED = 1024
+#: Cells of a row, and words of a side, that a block of alignments may have; words that a task remembers.
+BLOCK, SIDE, REMEMBERED = 1 << 14, 1 << 20, 1 << 21
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,6 +114,18 @@ class Sketcher:
         out[order] = mixed(ranked + before.astype(np.uint64) * ODD)
         return out
 
+    def least(self, order: np.ndarray) -> np.ndarray:
+        """The places of the ``ell`` least numbers of each row; in a long row only those under a bound are sorted, where enough are."""
+        n = order.shape[1]
+        if n > 128:
+            rows, places = np.nonzero(order < np.uint64((1 << 64) // n * (self.ell + 9)))
+            many = np.bincount(rows, minlength=len(order))
+            if many.min() >= self.ell:
+                ranked = np.lexsort((order[rows, places], rows))
+                starts = np.cumsum(many) - many
+                return places[ranked[starts[:, None] + np.arange(self.ell)]]
+        return np.argpartition(order, self.ell - 1, axis=1)[:, : self.ell]
+
     def __call__(self, words: list[str]) -> np.ndarray:
         """One number for each hash function; none for a text without words."""
         if not words:
@@ -107,8 +133,7 @@ class Sketcher:
         with np.errstate(over="ignore"):
             runs = self.labelled(self.hashes(words))
             if len(runs) > self.ell:
-                order = runs[None, :] * self.seeds[:, None]
-                least = np.sort(np.argpartition(order, self.ell - 1, axis=1)[:, : self.ell], axis=1)
+                least = np.sort(self.least(runs[None, :] * self.seeds[:, None]), axis=1)
                 chosen = runs[least]
             else:
                 chosen = np.broadcast_to(runs, (self.items, len(runs)))
@@ -124,7 +149,8 @@ def distances(pairs: list[tuple[np.ndarray, np.ndarray]], bands: list[int]) -> n
     order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]).bit_length(), bands[i]), reverse=True)
     at = 0
     while at < len(order):
-        block = order[at : at + max(1, BLOCK // (2 * bands[order[at]] + 1))]
+        longest = 1 << len(pairs[order[at]][0]).bit_length()
+        block = order[at : at + max(1, min(BLOCK // (2 * bands[order[at]] + 1), SIDE // longest))]
         at += len(block)
         band = max(bands[i] for i in block)
         for i, d in zip(block, _aligned([pairs[i] for i in block], band), strict=True):
@@ -182,22 +208,40 @@ def bounds(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[int, int]:
     return longer - int(common), int((1 - similarity) * longer + 1e-9)
 
 
+def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without what they begin and end with in common, which leaves their distance as it is."""
+    for _ in range(2):
+        n = min(len(a), len(b))
+        differ = np.flatnonzero(a[:n] != b[:n])
+        same = int(differ[0]) if len(differ) else n
+        a, b = a[same:][::-1], b[same:][::-1]
+    return a, b
+
+
 def linked(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY) -> list[bool]:
     """Whether each pair of word sequences has an edit similarity of ``similarity`` or more.
 
-    The band starts a little above the least possible distance and widens up
-    to the largest that counts.
+    The cost of a path within any band bounds the distance from above, so a
+    narrow band proves most links; only one as wide as the largest distance
+    that counts disproves one.
     """
-    out = [False] * len(pairs)
-    limits = [bounds(a, b, similarity) for a, b in pairs]
-    left = [(i, min(most, least + least // 8 + 2)) for i, (least, most) in enumerate(limits) if least <= most]
+    out, left = [False] * len(pairs), []
+    for i, (a, b) in enumerate(pairs):
+        most, gap = int((1 - similarity) * max(len(a), len(b)) + 1e-9), abs(len(a) - len(b))
+        if gap > most:
+            continue
+        a, b = trimmed(a, b)
+        if max(len(a), len(b)) <= most:
+            out[i] = True
+        elif bounds(a, b, similarity)[0] <= most:
+            left.append((i, (a, b), most, min(most, gap + 4)))
     while left:
         more = []
-        for (i, band), d in zip(left, distances([pairs[i] for i, _ in left], [band for _, band in left]), strict=True):
-            if d <= band:
+        for (i, pair, most, band), d in zip(left, distances([x[1] for x in left], [x[3] for x in left]), strict=True):
+            if d <= most:
                 out[i] = True
-            elif band < limits[i][1]:
-                more.append((i, min(limits[i][1], 4 * band)))
+            elif band < most:
+                more.append((i, pair, most, min(most, 4 * band)))
         left = more
     return out
 
@@ -229,139 +273,224 @@ def sketches(docs: DataFrame, k: int = K, ell: int = ELL, items: int = ITEMS) ->
     return over_batches(rows, "doc_id long, key binary, n_words int, items array<long>", make)
 
 
+def salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def salts() -> Column:
+    """The salts of a group's rows, as a bit set."""
+    return F.expr("bit_or(shiftleft(1L, salt))").alias("salts")
+
+
+def split(places: DataFrame) -> DataFrame:
+    """A row of ``places`` for each salt in its bit set ``salts``."""
+    return places.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1))).drop("salts")
+
+
+def meeting(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The ``rows`` (``key``, id, ...) whose ``key`` comes with several of ``value``.
+
+    Counting combines before it shuffles, and the join back is on the key and
+    a salt of the id, so that a key which a third of all rows share is split.
+    """
+    salted = rows.withColumn("salt", salt("id"))
+    several = salted.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), salts()).where("low != high")
+    return salted.join(split(several.select(key, "salts")), [key, "salt"]).drop("salt")
+
+
+def with_leaders(members: DataFrame, turn: int) -> DataFrame:
+    """The pairs (a, b) of each text with the leader of most of its buckets, where that is of another class."""
+    salted = members.withColumn("salt", salt("id"))
+    first = salted.groupBy("item").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("b"), salts())
+    led = salted.join(split(first), ["item", "salt"]).where("id != b")
+    times = led.groupBy("id", "b").agg(F.count("*").alias("times"), F.min("label").alias("label"))
+    # the most frequent leader, of equally frequent ones any: which one is compared first doesn't change the classes
+    best = times.groupBy("id").agg(F.max_by("b", F.expr("shiftleft(times, 50) + shiftrightunsigned(xxhash64(b), 14)")).alias("b"), F.min("label").alias("label"))
+    other = members.select(F.col("id").alias("b"), F.col("label").alias("b_label")).distinct()
+    return best.join(other, "b").where("label != b_label").select(F.col("id").alias("a"), "b")
+
+
+class Remembered(dict):
+    """Word hashes of the texts that came last, by id."""
+
+    def __init__(self):
+        self.known, self.words = WordHash(), 0
+
+    def of(self, ident: int, text: str) -> np.ndarray:
+        if (found := self.get(ident)) is None:
+            words = words_of(text)
+            found = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+            if self.words > REMEMBERED:
+                self.clear()
+                self.words = 0
+            self[ident] = found
+            self.words += len(found)
+        return found
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are similar. Each join is on one side's key; a hot leader's side is split as skewed."""
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    """The (a, b) of ``pairs`` that share an item and whose texts are similar.
+
+    Each join is on one side's id, with the texts as they are once each; AQE
+    splits the side of a leader whose pairs fill a partition.
+    """
+    left, right = (texts.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("text", "n_words", "items")]) for side in "ab")
+    longest = F.greatest("n_words_a", "n_words_b")
+    met = pairs.join(left, "a").join(right, "b").where(F.abs(F.col("n_words_a") - F.col("n_words_b")) <= F.floor((1 - similarity) * longest + 1e-9))
+    met = met.where(F.arrays_overlap("items_a", "items_b"))
 
     def make():
-        known = WordHash()
+        words = Remembered()
 
         def step(batch: pa.RecordBatch) -> dict:
-            sides = [[np.fromiter(map(known.__getitem__, words_of(x)), np.uint64, -1) for x in batch[c].to_pylist()] for c in ("text_a", "text_b")]
+            sides = [[words.of(*x) for x in zip(batch[c].to_pylist(), batch[f"text_{c}"].to_pylist(), strict=True)] for c in "ab"]
             return {"a": batch["a"], "b": batch["b"], "alike": linked(list(zip(*sides, strict=True)), similarity)}
 
         return step
 
-    return over_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), "a binary, b binary, alike boolean", make).where("alike").drop("alike")
+    return over_batches(met.select("a", "b", "text_a", "text_b"), "a long, b long, alike boolean", make).where("alike").drop("alike")
 
 
-def closed(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (key, label) with the labels that ``links`` (a, b) connect replaced by the smallest one.
+def closed(labels: DataFrame, links: DataFrame, shelf: Shelf) -> DataFrame:
+    """``labels`` (id, label) with one label for all that ``links`` (a, b) connect.
 
-    Works on the graph of labels, which is small where few classes meet: each
-    round every label takes the smallest label near it, and then that of its
-    parent, until nothing changes.
+    Works on the graph of labels. Each round every label gives way to the least
+    one near it, and the edges are carried over to those; edges within a label
+    go, so the graph shrinks until none is left.
     """
-    la, lb = labels.select(F.col("key").alias("a"), F.col("label").alias("x")), labels.select(F.col("key").alias("b"), F.col("label").alias("y"))
-    edges = links.join(la, "a").join(lb, "b").where("x != y").select("x", "y")
-    edges = stored(edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "dedup-edges")
-    parents = stored(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")), "dedup-roots")
-    while True:
-        near = edges.join(parents.select(F.col("x").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
-        step = parents.join(near, "x").select("x", "root", F.least("root", "near").alias("low"))
-        jump = parents.select(F.col("x").alias("low"), F.col("root").alias("up"))
-        after = stored(step.join(jump, "low", "left").select("x", F.least("low", F.coalesce("up", "low")).alias("root"), (F.least("low", F.coalesce("up", "low")) != F.col("root")).alias("moved")), "dedup-roots")
-        parents = after.drop("moved")
-        if after.where("moved").isEmpty():
-            break
-    return stored(labels.join(parents.select(F.col("x").alias("label"), "root"), "label", "left").select("key", F.coalesce("root", "label").alias("label")), "dedup-labels")
-
-
-def word_bits(words: np.ndarray) -> np.ndarray:
-    """A bit for each word and how often it came before; texts may share bits by chance, but a bit that one lacks is a word that it lacks."""
-    bits = np.zeros(64 * LONGS, np.uint8)
-    if len(words):
-        with np.errstate(over="ignore"):
-            bits[Sketcher(k=1).labelled(words) % np.uint64(len(bits))] = 1
-    return np.packbits(bits).view(np.int64)
-
-
-def with_bits(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``members`` with the bit sets of their texts."""
+    la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("x")), labels.select(F.col("id").alias("b"), F.col("label").alias("y"))
+    edges = shelf.put(links.join(la, "a").join(lb, "b").where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
+    while not edges.isEmpty():
+        near = edges.select("x", F.col("x").alias("to")).union(edges.select("y", "x"))
+        parents = shelf.put(near.groupBy("x").agg(F.min("to").alias("up")), "parents")
+        labels = labels.join(parents.select(F.col("x").alias("label"), "up"), "label", "left").select("id", F.coalesce("up", "label").alias("label"))
+        moved = edges.join(parents.select("x", F.col("up").alias("p")), "x").join(parents.select(F.col("x").alias("y"), F.col("up").alias("q")), "y").where("p != q")
+        edges = shelf.put(moved.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "edges")
+    return shelf.put(labels, "labels")
+
+
+def occurrences(words: np.ndarray) -> np.ndarray:
+    """A number for each word and how often it came before."""
+    with np.errstate(over="ignore"):
+        return Sketcher(k=1).labelled(words) if len(words) else np.zeros(0, np.uint64)
+
+
+def rarest(words: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The occurrences that come first in the order of ``counts``, so many that two linked texts have one of them in common."""
+    found = occurrences(words)
+    order = np.lexsort((found, counts[found % np.uint64(len(counts))]))
+    return found[order[: int((1 - similarity) * len(found) + 1e-9) + 1]]
+
+
+def slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many occurrences of ``texts`` fall into each of ``SLOTS`` slots; the driver gets no more than those."""
+
+    def run(batches):
+        known, counts = WordHash(), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                words = words_of(text)
+                np.add.at(counts, occurrences(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))) % np.uint64(SLOTS), 1)
+        full = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], ["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: Shelf) -> DataFrame:
+    """The pairs (a, b) of the ``members`` (item, id, label) of different classes whose rarest words and lengths allow a link."""
+    open_ids = members.select("id", "label").distinct()
+    own = shelf.put(texts.join(open_ids, "id").select("id", "label", "n_words", "text"), "open")
+    counts = slot_counts(own)
 
     def make():
         known = WordHash()
 
         def step(batch: pa.RecordBatch) -> dict:
-            made = [word_bits(np.fromiter(map(known.__getitem__, words_of(x)), np.uint64, -1)) for x in batch["text"].to_pylist()]
-            return {"key": batch["key"], "bits": pa.array([x.tolist() for x in made], pa.list_(pa.int64()))}
+            made = []
+            for text in batch["text"].to_pylist():
+                words = words_of(text)
+                first = rarest(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), counts, similarity)
+                # a slot with one occurrence holds a word that no other text has
+                made.append(first[counts[first % np.uint64(SLOTS)] > 1].view(np.int64))
+            return {**{c: batch[c] for c in ("id", "label", "n_words")}, "words": pa.array(made, pa.list_(pa.int64()))}
 
         return step
 
-    bits = over_batches(texts.join(members.select("key").distinct(), "key", "left_semi").select("key", "text"), "key binary, bits array<long>", make)
-    return members.join(bits, "key").withColumn("ones", F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x)))
-
-
-def near(similarity: float) -> tuple[Column, Column]:
-    """Whether the lengths of a member and of ``b`` allow a link, and the largest distance that a link of theirs may have."""
-    most = F.floor((1 - similarity) * F.greatest("n_words", "b_words") + 1e-9)
-    return F.abs(F.col("n_words") - F.col("b_words")) <= most, most
-
-
-def left_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of members (item, key, n_words, label, bits, ones) of a bucket and of several classes that no bound rules out."""
-    other = members.select("item", *[F.col(c).alias(f"b_{c}") for c in ("key", "label", "bits", "ones")], F.col("n_words").alias("b_words"))
-    by_length, most = near(similarity)
-    common = F.aggregate(F.zip_with("bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
-    met = members.join(other, (members.item == other.item) & (F.col("key") > F.col("b_key")) & (F.col("label") != F.col("b_label")) & by_length & (F.greatest("ones", "b_ones") - common <= most))
-    return met.select(F.col("key").alias("a"), F.col("b_key").alias("b")).distinct()
-
-
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, key) of ``docs`` with a text, and key, label of the texts that are alike to a different one."""
-    rows = stored(sketches(docs), "dedup-sketches")
-    items = rows.select("key", "n_words", F.explode("items").alias("item"))
-    shared = items.groupBy("item").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("item")
-    members = stored(items.join(shared, "item").dropDuplicates(["item", "key"]).select("item", "key", "n_words"), "dedup-members")
-    one = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    needed = members.select("key").distinct().join(one, "key").select("key", F.col("doc_id").alias("id"))
-    keyed = docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text"), text_key(docs.text).alias("key"))
-    texts = keyed.join(needed.withColumnRenamed("key", "needed"), F.col("key").eqNullSafe(F.col("needed")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    texts = stored(texts.dropDuplicates(["key", "doc_id"]).select("key", "text"), "dedup-texts")
-    labels = stored(members.select("key").distinct().select("key", F.col("key").alias("label")), "dedup-labels")
-    for leaders in (*LEADERS, None):
-        placed = members.join(labels, "key")
-        open_buckets = placed.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("item")
-        members = stored(placed.join(open_buckets, "item").select("item", "key", "n_words", "label"), "dedup-members")
+    rare = shelf.put(over_batches(own, "id long, label long, n_words int, words array<long>", make), "rare")
+    rows = shelf.put(meeting(rare.select(F.explode("words").alias("word"), "id", "label", "n_words").distinct(), "word", "label"), "words")
+    largest = rows.groupBy("word").count().agg(F.max("count")).first()[0] or 0
+    blocks = -(-largest // LISTED) or 1
+    # the same block for a text in all lists, so what a text meets in a block is made distinct in one place
+    block = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(blocks))
+    lists = rows.withColumn("block", block).groupBy("word", "block").agg(F.collect_list(F.struct("id", "label", "n_words")).alias("others"))
+
+    def allowed(x: Column) -> Column:
+        most = F.floor((1 - similarity) * F.greatest(x["n_words"], F.col("n_words")) + 1e-9)
+        return (x["id"] < F.col("id")) & (x["label"] != F.col("label")) & (F.abs(x["n_words"] - F.col("n_words")) <= most)
+
+    met = rows.join(lists, "word").select("id", "block", F.transform(F.filter("others", allowed), lambda x: x["id"]).alias("met")).where(F.size("met") > 0)
+    return met.groupBy("id", "block").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met")).select(F.col("id").alias("a"), F.explode("met").alias("b"))
+
+
+#: Stands for a null doc_id where ids are compared; equal keys mean equal texts, so a real id of that value does no harm.
+NO_ID = (1 << 63) - 1
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """Every row with a text: what it is, ``key`` of its text, and ``did``, its id or ``NO_ID``."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs.text.cast("string").alias("text"), text_key(docs.text).alias("key"), F.coalesce(docs.doc_id.cast("long"), F.lit(NO_ID)).alias("did")).where("key IS NOT NULL")
+
+
+def classes(docs: DataFrame, similarity: float, shelf: Shelf) -> DataFrame:
+    """key, did, salts, label of every different text of ``docs``; ``did`` is its least id, and equal labels are classes."""
+    rows = shelf.put(sketches(docs).withColumn("did", F.coalesce("doc_id", F.lit(NO_ID))), "sketches").withColumn("salt", salt("did"))
+    # equal texts have equal items; columns of longs are aggregated by hash where arrays would be sorted
+    firsts = [F.max(F.get("items", F.lit(j))).alias(f"item{j}") for j in range(ITEMS)]
+    one = rows.groupBy("key").agg(F.min("did").alias("did"), F.max("n_words").alias("n_words"), salts(), *firsts)
+    items = F.array_distinct(F.array_compact(F.array(*[f"item{j}" for j in range(ITEMS)]))).alias("items")
+    # ids are written with their texts' keys and read from there, so they don't change
+    one = shelf.put(one.select(F.monotonically_increasing_id().alias("id"), "key", "did", "n_words", "salts", items), "texts")
+    members = shelf.put(meeting(one.select("id", F.explode("items").alias("item")), "item", "id").select("item", "id"), "members")
+    labels = shelf.put(members.select("id").distinct().select("id", F.col("id").alias("label")), "labels")
+    needed = one.join(labels.select("id"), "id").select("id", "key", "did", "n_words", "items")
+    texts = shelf.put(identified(docs).select("key", "did", "text").join(needed, ["key", "did"]).dropDuplicates(["key", "did"]).select("id", "text", "n_words", "items"), "words")
+    for turn in range(LEADER_ROUNDS + 1):
+        members = shelf.put(meeting(members.select("item", "id").join(labels, "id"), "item", "label"), "open-members")
         if members.isEmpty():
             break
-        if leaders is None:
-            pairs = left_pairs(stored(with_bits(members, texts), "dedup-bits"), similarity)
-        else:
-            slot = F.pmod(F.xxhash64("key", F.lit(leaders)), F.lit(leaders))
-            heads = members.groupBy("item", slot.alias("slot")).agg(F.min(F.struct("n_words", "key", "label")).alias("head"))
-            heads = stored(heads.select("item", F.col("head.key").alias("b"), F.col("head.label").alias("b_label"), F.col("head.n_words").alias("b_words")), "dedup-heads")
-            met = members.join(heads, "item").where((F.col("label") != F.col("b_label")) & near(similarity)[0])
-            pairs = met.select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
-            members = members.join(heads.select("item", F.col("b").alias("key")), ["item", "key"], "left_anti").drop("label")
-        links = stored(verified(pairs, texts, similarity), "dedup-links")
-        if not links.isEmpty():
-            labels = closed(labels, links)
-    return rows.select("doc_id", "key"), labels
+        pairs = with_leaders(members, turn) if turn < LEADER_ROUNDS else left_pairs(members, texts, similarity, shelf)
+        labels = closed(labels, shelf.put(verified(pairs, texts, similarity), "links"), shelf)
+    return one.join(labels, "id", "left").select("key", "did", "salts", F.coalesce("label", "id").alias("label"))
+
+
+def winners(placed: DataFrame) -> DataFrame:
+    """label, and the ``did`` and ``key`` of the document that names it."""
+    return placed.groupBy("label").agg(F.min(F.struct("did", "key")).alias("first")).select("label", F.col("first.did").alias("first_did"), F.col("first.key").alias("first_key"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, kept of every row of ``docs``."""
-    rows, labels = classes(docs, similarity)
-    placed = rows.join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
-    named = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
-    out = placed.join(named, "label").select(
-        "doc_id", F.col("first.doc_id").alias("class_id"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).alias("kept")
-    )
-    untold = docs.where("text IS NULL").select(docs.doc_id.cast("long").alias("doc_id"))
-    return out.unionByName(untold.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept")))
+    """doc_id, class_id, kept of every row of ``docs``, from a table in the shared folder that is the caller's."""
+    with Shelf(docs.sparkSession, "dedup") as shelf:
+        placed = shelf.put(classes(docs, similarity, shelf), "classes")
+        named = placed.join(winners(placed), "label").select("key", "first_did", F.col("first_key"), "salts")
+        rows = identified(docs).select("key", "did", salt("did").alias("salt"))
+        out = rows.join(split(named), ["key", "salt"]).select(
+            F.nullif("did", F.lit(NO_ID)).alias("doc_id"), F.nullif("first_did", F.lit(NO_ID)).alias("class_id"), ((F.col("did") == F.col("first_did")) & (F.col("key") == F.col("first_key"))).alias("kept")
+        )
+        untold = docs.where("text IS NULL").select(docs.doc_id.cast("long").alias("doc_id"))
+        return stored(out.unionByName(untold.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))), "near-duplicates")
 
 
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, with the columns of ``docs``; rows without a text stay."""
-    rows, labels = classes(docs, similarity)
-    placed = rows.join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
-    first = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
-    winners = first.select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("winner"))
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs.doc_id.cast("long").alias("doc_id"), text_key(docs.text).alias("key"))
-    won = row.where("key IS NOT NULL").join(winners, F.col("key").eqNullSafe(F.col("winner")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return won.dropDuplicates(["key", "doc_id"]).select("row.*").unionByName(docs.where("text IS NULL"))
+    with Shelf(docs.sparkSession, "dedup") as shelf:
+        won = stored(winners(classes(docs, similarity, shelf)).select(F.col("first_did").alias("did"), F.col("first_key").alias("key")), "dedup-winners")
+    kept = identified(docs).select("row", "key", "did").join(won, ["key", "did"], "left_semi")
+    return kept.dropDuplicates(["key", "did"]).select("row.*").unionByName(docs.where("text IS NULL"))
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
