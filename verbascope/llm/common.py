@@ -73,19 +73,44 @@ class Shelf:
             remove(self.spark, self.path)
 
 
+#: Parts into which a hot key is split before it is joined.
+SALTS = 63
+
+
+def salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def salts() -> Column:
+    """The column ``salt`` of a group's rows, as a bit set."""
+    return F.expr("bit_or(shiftleft(1L, salt))").alias("salts")
+
+
+def split(places: DataFrame) -> DataFrame:
+    """A row of ``places`` for each salt in its bit set ``salts``: no more than its group has rows."""
+    return places.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1))).drop("salts")
+
+
 def folded(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))) % modulus
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of an Arrow batch in this session, as operators hold a batch of whole texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def over_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """``mapInArrow`` by whole batches.
 
     ``make`` runs once a task and returns what turns a record batch into a
-    dict of columns in the order of ``schema``.
+    dict of columns in the order of ``schema``. A session whose Arrow batches
+    may have more than ``BATCH_ROWS`` rows is set to that many.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     target = _arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +120,8 @@ def over_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Rec
             yield pa.RecordBatch.from_arrays(
                 [x if isinstance(x, pa.Array) else pa.array(x, target.field(k).type) for k, x in out.items()], schema=target
             )
+        # workers are used again by other operators, which have memory of their own
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
