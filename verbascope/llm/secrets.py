@@ -1,18 +1,26 @@
 """Secret scans: fixed patterns, and a lexer that knows assignments.
 
 The lexer reads source and configuration syntax (``name = value``, ``name:
-value``, ``"name": "value"``, ``name := value``, ``name => value``) into pairs
-of a name and the terms of its value: quoted literals, bare words and names
-of other constants, joined by ``+``. A constant's literals are propagated to
-the names that it is assigned to. A value is scored by how sensitive its
-target name is and how much like a secret it looks; literals that reach
-``THRESHOLD`` are spans of kind ``literal``, each at its own place.
+value``, ``"name": "value"``, ``name := value``, ``name => value``, ``name:
+type = value``, ``x["name"] = value``, ``<name>value</name>``) into pairs of a
+name and the terms of its value: quoted literals, bare words and names of
+other constants, joined by ``+``. A constant's literals are propagated to the
+names that it is assigned to. A value is scored by how sensitive its target
+name is and how much like a secret it looks; literals that reach ``THRESHOLD``
+are spans of kind ``literal``, each at its own place.
+
+A constant is kept as its own terms and references to the constants it is made
+of, with a summary of its value (length, counts of characters, both ends), so
+that its size doesn't follow the length of what it stands for.
 
 Defined cases: a null or empty text has no spans; equal texts have equal
-spans; texts of any length are scanned whole. Names of more than
-``NAME_CHARS`` characters aren't names. Of a name assigned more than once, the
-latest value before a use holds; a name that is never assigned has no literals
-and counts as a bare word.
+spans; texts, names and gaps of any length are read whole. Of a name assigned
+more than once, the latest value before a use holds; a name that is never
+assigned has no literals and counts as a bare word. Spans of one start are
+ordered by kind, then end. Repeated rows are scanned as often as they occur;
+an empty table gives no rows. ``scan`` returns columns of its own only, and
+``redacted`` all columns as they came but ``text`` and ``n_chars``, whatever
+other columns are named.
 """
 
 from __future__ import annotations
@@ -21,12 +29,13 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from verbascope.llm.common import over_batches, table
+from verbascope.llm.common import over_batches, small_batches, table
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -36,15 +45,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "literal")
 
-NAME_CHARS = 128
 OPERATOR = re.compile(r":=|=>|(?<![=!<>:])=(?![=>])|:(?![:=/])")
-NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)(["']?|["'][ \t]*\])[ \t]*\Z""")
-#: A name and the type that follows it.
-TYPED_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)[ \t]*:[ \t]*[A-Za-z_][A-Za-z0-9_.\[\], |]{0,63}\Z""")
+#: A name with a closing quote or subscript, read from right to left.
+NAME_BEFORE = re.compile(r"""[ \t]*(?:\][ \t]*["']|["']?)([A-Za-z0-9_.\-]*[A-Za-z_])""")
+#: The type between a name's colon and its equals sign.
+TYPE = re.compile(r"[ \t]*[A-Za-z_][A-Za-z0-9_.\[\], |]*\Z")
 #: What may stand between an operator and a literal that isn't right behind it.
 OPENED = re.compile(r"[ \t]*(?:\([ \t]*)?(?:\r?\n[ \t]*)?")
 KEY = re.compile(r"[ \t]*[:=]")
-ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.\-]{0,127})>([^<>]+)</\1>")
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.\-]*)>([^<>]+)</\1>")
 BLANKS = re.compile(r"[ \t]*")
 LITERAL = re.compile(r"""[bBrRuU]{0,2}(?:\"\"\"(.*?)\"\"\"|'''(.*?)'''|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""", re.DOTALL)
 BARE = re.compile(r"""[^\s"'`,;|(){}\[\]<>#]+""")
@@ -90,15 +99,88 @@ def sensitivity(name: str) -> float:
     return max((NAMES.get(x, 0.0) for x in parts + pairs), default=0.0)
 
 
-def strength(value: str) -> float:
+#: Characters of each end that a summary keeps; beyond so many characters counts are shares.
+END, MOST = 32, 2.0**50
+
+
+class Value:
+    """What scoring needs of a value: length, counts of characters, first and last characters."""
+
+    __slots__ = ("counts", "head", "length", "tail")
+
+    def __init__(self, text: str = ""):
+        self.length, self.counts = float(len(text)), Counter(text)
+        self.head, self.tail = text[: 2 * END], text[-2 * END :]
+
+    def add(self, other: Value) -> None:
+        """Puts ``other`` behind."""
+        self.head = (self.head + other.head)[: 2 * END] if self.length < 2 * END else self.head
+        self.tail = (self.tail + other.tail)[-2 * END :] if other.length < 2 * END else other.tail
+        for c, n in other.counts.items():
+            self.counts[c] += n
+        self.length += other.length
+        if self.length > MOST:
+            for c in self.counts:
+                self.counts[c] *= MOST / self.length
+            self.length = MOST
+
+    def alike(self) -> str:
+        """The value, or one with the same ends and characters where it is long."""
+        return self.head if self.length <= 2 * END else self.head[:END] + "".join(self.counts) + self.tail[-END:]
+
+
+def strength(value: Value) -> float:
     """Up to 4: for length, entropy and kinds of characters; below 0 for what stands in for a secret."""
-    if len(value) < 6 or HARMLESS.match(value):
+    text = value.alike()
+    if value.length < 6 or HARMLESS.match(text):
         return -10.0
-    counts = Counter(value)
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", r"\d", r"[^\w\s]"))
-    blank = 2.0 * bool(re.search(r"\s", value.strip()))
-    return min(1.5, len(value) / 16) + min(1.5, max(0.0, entropy - 2) * 0.75) + 0.5 * (kinds - 1) - blank
+    shares = [n / value.length for n in value.counts.values()]
+    entropy = -sum(x * math.log2(x) for x in shares if x > 0)
+    kinds = sum(bool(re.search(p, text)) for p in ("[a-z]", "[A-Z]", r"\d", r"[^\w\s]"))
+    blank = 2.0 * bool(re.search(r"\s", text))
+    return min(1.5, value.length / 16) + min(1.5, max(0.0, entropy - 2) * 0.75) + 0.5 * (kinds - 1) - blank
+
+
+class Constant:
+    """A value as its own places and the constants that it is made of."""
+
+    __slots__ = ("found", "parts", "places", "value")
+
+    def __init__(self, text: str, parsed: list[tuple[str, int, int]], constants: dict[str, Constant]):
+        self.places: list[tuple[int, int]] = []
+        self.parts: list[Constant] = []
+        self.value, self.found = Value(), False
+        for kind, start, end in parsed:
+            known = constants.get(text[start:end]) if kind == "bare" and CONSTANT.match(text, start, end) else None
+            if known is None:
+                self.places.append((start, end))
+                # white space at a term's ends isn't part of a secret
+                self.value.add(Value(text[start:end].strip()))
+            else:
+                if known not in self.parts:
+                    self.parts.append(known)
+                self.value.add(known.value)
+
+    def spans(self) -> Iterator[Span]:
+        """The places that it comes from; those of a constant are given once in a text."""
+        left = [self]
+        while left:
+            at = left.pop()
+            if not at.found:
+                at.found = True
+                yield from (Span("literal", a, b, a, b) for a, b in at.places if a < b)
+                left += at.parts
+
+
+def name_before(text: str, at: int) -> str | None:
+    """The name that ends before ``at``, of whatever length and behind whatever gap."""
+    window = 64
+    while True:
+        left = max(0, at - window)
+        m = NAME_BEFORE.match(text[left:at][::-1])
+        if left == 0 or m and m.end() < at - left or not m and text[left:at].strip(" \t"):
+            return m[1][::-1] if m else None
+        window *= 8
 
 
 def terms(text: str, at: int) -> tuple[list[tuple[str, int, int]], int]:
@@ -121,13 +203,14 @@ def terms(text: str, at: int) -> tuple[list[tuple[str, int, int]], int]:
 def literal_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name, directly or by way of constants."""
     found: dict[tuple[int, int], Span] = {}
-    constants: dict[str, list[tuple[int, int]]] = {}
+    constants: dict[str, Constant] = {}
+    colon: tuple[str, int] | None = None
     for m in OPERATOR.finditer(text):
-        left = max(0, m.start() - NAME_CHARS - 4)
-        before = text[left : m.start()]
-        named = NAME_BEFORE.search(before)
-        typed = TYPED_BEFORE.search(text[max(0, left - 66) : m.start()]) if m[0] == "=" else None
-        names = [x[1] for x in (named, typed) if x and len(x[1]) <= NAME_CHARS]
+        name = name_before(text, m.start())
+        names = {name} if name else set()
+        if m[0] == "=" and colon and TYPE.match(text, colon[1], m.start()):
+            names.add(colon[0])
+        colon = (name, m.end()) if m[0] == ":" and name else None
         if not names:
             continue
         parsed, _ = terms(text, m.end())
@@ -135,22 +218,18 @@ def literal_spans(text: str) -> list[Span]:
             at = OPENED.match(text, m.end()).end()
             if (first := LITERAL.match(text, at)) and not KEY.match(text, first.end()):
                 parsed, _ = terms(text, at)
-        places: list[tuple[int, int]] = []
-        for kind, start, end in parsed:
-            known = constants.get(text[start:end]) if kind == "bare" and CONSTANT.match(text[start:end]) else None
-            places += known if known is not None else [(start, end)]
-        if not places:
+        if not parsed:
             continue
-        for name in names:
-            constants[name] = places
+        made = Constant(text, parsed, constants)
+        if not made.places and len(made.parts) == 1 and len(parsed) == 1:
+            made = made.parts[0]
+        constants.update(dict.fromkeys(names, made))
         worth = max(map(sensitivity, names))
-        if worth and worth + strength("".join(text[a:b] for a, b in places)) >= THRESHOLD:
-            for a, b in places:
-                if a < b:
-                    found[a, b] = Span("literal", a, b, a, b)
+        if worth and worth + strength(made.value) >= THRESHOLD:
+            found |= {(x.start, x.end): x for x in made.spans()}
     for m in ELEMENT.finditer(text):
         worth = sensitivity(m[1])
-        if worth and worth + strength(m[2]) >= THRESHOLD:
+        if worth and worth + strength(Value(m[2].strip())) >= THRESHOLD:
             found[m.span(2)] = Span("literal", *m.span(2), *m.span(2))
     return list(found.values())
 
@@ -197,6 +276,7 @@ def redacted_text(text: str, mark: str = "[REDACTED]") -> str:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets replaced in ``text``, and ``n_chars``, if there, counted anew where the text changed."""
     names = docs.columns
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
