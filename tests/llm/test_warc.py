@@ -25,7 +25,7 @@ def pages(spark):
 
 @pytest.mark.parametrize("split", [1, 97, 1 << 20])
 def test_edges_at_any_split(spark, split):
-    files = common.stored(warc.write(warc.with_revisits(pages(spark).drop("refers_to")), common.fresh_dir(spark, "w")), "files")
+    files = common.stored(warc.write(warc.with_revisits(pages(spark)), common.fresh_dir(spark, "w")), "files")
     if split == 1:
         files = files.where("length < 3000")
     rows = warc.read(files, split).collect()
@@ -41,7 +41,7 @@ def test_edges_at_any_split(spark, split):
 
 
 def test_empty(spark):
-    files = common.stored(warc.write(warc.with_revisits(pages(spark).drop("refers_to").limit(0)), common.fresh_dir(spark, "w")), "files")
+    files = common.stored(warc.write(warc.with_revisits(pages(spark).limit(0)), common.fresh_dir(spark, "w")), "files")
     assert files.collect() == [] and warc.read(files).collect() == []
 
 
@@ -82,3 +82,28 @@ def test_broken_members(tmp_path):
 def test_a_member_is_plain_gzip():
     text = gzip.decompress(warc.record(1, "u", b"<p>", "d", 9)).decode()
     assert text.startswith("WARC/1.0\r\nWARC-Type: revisit") and "WARC-Refers-To: <urn:page:9>" in text and "<p>" not in text
+
+
+def packed(text: bytes) -> bytes:
+    return gzip.compress(text)
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    info = packed(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\nContent-Type: application/warc-fields\r\nContent-Length: 6\r\n\r\na: b\r\n\r\n\r\n")
+    page = packed(b"WARC/1.1\r\nwarc-type:response\r\nWARC-RECORD-ID:<urn:page:7>\r\nwarc-target-uri: http://a\r\n /b\r\ncontent-type:application/http;msgtype=response\r\nCONTENT-LENGTH:  25\r\n\r\nHTTP/1.1 200\r\nbroken\r\n\r\nx\r\n\r\n")
+    bare = packed(b"WARC/1.0\r\nWARC-Type: revisit\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(info + page + bare + warc.record(9, "u", b"mine", "d", None))
+    files = spark.createDataFrame([(f"file://{path}", path.stat().st_size)], "path string, length long")
+    rows = {r["record_type"] + str(r["page_id"]): r for r in warc.read(files).collect()}
+    assert set(rows) == {"warcinfoNone", "response7", "revisitNone", "response9"}
+    assert rows["warcinfoNone"]["url"] is None and bytes(rows["warcinfoNone"]["payload"]) == b"a: b\r\n"
+    assert rows["response7"]["url"] == "http://a /b" and bytes(rows["response7"]["payload"]) == b"x"
+    assert (rows["revisitNone"]["payload_bytes"], rows["revisitNone"]["payload_digest"], rows["revisitNone"]["payload"]) == (None, None, None)
+
+
+def test_no_page_of_a_long_url_is_lost(spark):
+    urls = ["data:;base64," + "".join(random.Random(n).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n)) for n in (80_000, 133_000, 266_000)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'<p>' AS html")
+    files = common.stored(warc.write(warc.with_revisits(rows), common.fresh_dir(spark, "w")), "files")
+    assert {r["page_id"]: r["url"] for r in warc.read(files).collect()} == dict(enumerate(urls))

@@ -11,10 +11,17 @@ Writing: each task streams its records to one file of a name of its own in the
 shared folder, and reports the file once it is closed; only reported files
 are read, so that a task run twice leaves a file that nobody reads.
 
+The reader takes any version and any record type, header names in any case and
+folded header lines; what isn't there is null. Files are opened by pyarrow,
+which knows file, hdfs, s3 (and s3a, which is read as s3), gs and abfs.
+
 Defined cases: a null html is the empty payload. Payloads of ``least`` bytes
 or more that are equal share one response, at the largest page_id (null ids
 come before all others); the other rows are revisits of it, and rows that
 repeat that largest id are responses, too. Smaller payloads are all responses.
+Urls and payloads of any length are written and read whole. An empty table
+writes no file and reads as no rows. Columns other than page_id, url and html
+aren't used, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbascope.llm.common import fresh_dir, stored, table
+from verbascope.llm.common import fresh_dir, remove, salt, salts, split, stored, table
 
 LEAST = 1000
 SPLIT_BYTES = 16 << 20
@@ -38,6 +45,11 @@ SPLIT_BYTES = 16 << 20
 MOST_TASKS = 50_000
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.0\r\n"
+#: How the version line of a record begins, and what its header block holds.
+VERSIONS = re.compile(rb"WARC/\d+\.\d+[ \t]*\r\n")
+VERSION_BYTES = 32
+LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*\d+[ \t]*\r\n")
+PAGE = re.compile(r"<urn:page:(-?\d+)>\Z")
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -62,7 +74,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri)
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"\As3[an]://", "s3://", uri))
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -107,29 +119,33 @@ class Source:
 
 def member(source: Source, start: int, test_only: bool = False) -> tuple[bytes, int] | None:
     """The whole content of the member at ``start`` and where it ends, or None if no WARC record starts there."""
-    unpack, out, at, proven = zlib.decompressobj(31), [], start, False
-    size = 0
+    unpack, out, at, proven = zlib.decompressobj(31), bytearray(), start, False
+    seen = 0
     while not unpack.eof:
         data = source.get(at, 1 << 16)
         if not data:
             return None
         try:
-            got = unpack.decompress(data)
+            out += unpack.decompress(data)
         except zlib.error:
             return None
         at += len(data) - len(unpack.unused_data)
-        out.append(got)
-        size += len(got)
-        if not proven and (unpack.eof or size >= len(VERSION)):
-            head = b"".join(out)
-            if not head.startswith(VERSION):
+        if not proven and (unpack.eof or len(out) >= VERSION_BYTES):
+            if not VERSIONS.match(out):
                 return None
-            proven = b"\r\n\r\n" in head and re.search(rb"\r\nContent-Length: \d+\r\n", head) is not None
-            if not proven and unpack.eof:
+            # the header block may be of any length; what has been searched isn't searched again
+            end = out.find(b"\r\n\r\n", max(0, seen - 3))
+            seen = len(out)
+            if end < 0:
+                if unpack.eof:
+                    return None
+                continue
+            if not LENGTH.search(out, 0, end + 2):
                 return None
-            if proven and test_only:
-                return head, at
-    return b"".join(out), at
+            proven = True
+            if test_only:
+                break
+    return bytes(out), at
 
 
 def owned(source: Source, start: int, stop: int) -> Iterator[bytes]:
@@ -156,13 +172,41 @@ def owned(source: Source, start: int, stop: int) -> Iterator[bytes]:
             at = found[1]
 
 
+def fields_of(block: bytes) -> dict[str, str]:
+    """The named fields of a header block behind its first line, names in lower case; the first of a name counts."""
+    out: dict[str, str] = {}
+    for line in re.sub(r"\r\n[ \t]+", " ", block.decode("utf-8", "replace")).split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
 def parse(content: bytes) -> dict:
-    """Header fields, HTTP header fields and payload of a record."""
+    """Header fields, HTTP header fields and payload of a record; a record without an HTTP message has its block for a payload."""
     head, _, rest = content.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    return {"fields": fields, "http": dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), "payload": payload}
+    fields = fields_of(head)
+    payload, http = rest[: int(fields["content-length"])], {}
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        header, _, payload = payload.partition(b"\r\n\r\n")
+        http = fields_of(header)
+    return {"fields": fields, "http": http, "payload": payload}
+
+
+def row_of(content: bytes) -> dict:
+    """A record as a row of ``read``."""
+    got = parse(content)
+    fields, kind = got["fields"], got["fields"].get("warc-type")
+
+    def page(field: str) -> int | None:
+        found = PAGE.match(fields.get(field, ""))
+        return int(found[1]) if found else None
+
+    row = {"page_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": page("warc-refers-to")}
+    if kind != "revisit":
+        return row | {"payload_digest": hashlib.sha1(got["payload"]).hexdigest(), "payload_bytes": len(got["payload"]), "payload": got["payload"]}
+    told = got["http"].get("content-length", "")
+    return row | {"payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": int(told) if told.isdecimal() else None, "payload": None}
 
 
 def ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -179,9 +223,6 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
-    def number(urn: str | None) -> int | None:
-        return int(urn[10:-1]) if urn and urn[10:-1] else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         held = 0
@@ -190,14 +231,7 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 fs, path = filesystem(x["path"])
                 with fs.open_input_file(path) as file:
                     for content in owned(Source(file, x["length"]), x["start"], x["stop"]):
-                        got = parse(content)
-                        fields, revisit = got["fields"], got["fields"]["WARC-Type"] == "revisit"
-                        rows.append({
-                            "page_id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"],
-                            "payload_digest": fields["WARC-Payload-Digest"][5:] if revisit else hashlib.sha1(got["payload"]).hexdigest(),
-                            "payload_bytes": int(got["http"]["Content-Length"]) if revisit else len(got["payload"]),
-                            "refers_to": number(fields.get("WARC-Refers-To")), "payload": None if revisit else got["payload"],
-                        })
+                        rows.append(row_of(content))
                         held += len(content)
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema=target)
@@ -215,17 +249,26 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, html, refers_to: the page that a row of an equal payload refers to, or null."""
     html = F.coalesce(pages.html, F.lit(""))
-    keyed = pages.select("page_id", "url", html.alias("html"), F.when(F.octet_length(html) >= least, F.sha1(html.cast("binary"))).alias("digest"))
-    # only digests that occur again, counted map-side first
-    again = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    return keyed.join(again, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    rows = pages.select("page_id", "url", html.alias("html"))
+    none = F.lit(None).cast(rows.schema["page_id"].dataType)
+    large = rows.where(F.octet_length("html") >= least).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    # pages of an equal payload may be many: they are counted map-side first, told of their response by a salted join without
+    # the payload, and found again by their own ids
+    marks = large.select("page_id", "digest", salt("page_id").alias("salt"))
+    again = marks.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"), salts()).where("n > 1").drop("n")
+    told = marks.join(split(again), ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("last")))
+    told = told.groupBy(F.col("page_id").alias("page"), F.col("digest").alias("of")).agg(F.max("last").alias("refers_to"))
+    met = large.join(told, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("of")), "left")
+    return met.select("page_id", "url", "html", "refers_to").union(rows.where(F.octet_length("html") < least).withColumn("refers_to", none))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").selectExpr("cast(page_id as long) page_id", "url", "html")
-    files = stored(write(with_revisits(pages), fresh_dir(spark, "warc")), "warc-files")
-    return read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = fresh_dir(spark, "warc")
+    files = stored(write(with_revisits(pages), folder), "warc-files")
+    out = stored(read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
+    remove(spark, folder)
+    return out
 
 
 ORACLE_SQL = """
