@@ -140,6 +140,15 @@ def index_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.correlations(ph_indices_answer(spark, sf_dir)))
 
 
+REFERENCE = "reference AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {a or 'NULL'}, {b})" for k, (a, b) in stats.REFERENCE_R.items()) + ") AS v(index, r_docx_v6, r_v12_fixed))"
+
+
+@query(f"WITH {REFERENCE}, c AS ({CORRELATIONS}) SELECT c.index, place, mean, sd, n, r AS r_senseaware, CAST(r_docx_v6 AS DOUBLE) AS r_docx_v6, CAST(r_v12_fixed AS DOUBLE) AS r_v12_fixed FROM c LEFT JOIN reference ON c.index = reference.index", "inventory", "hits")
+def corr_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations beside those of earlier runs: all columns of ``corr_pvalues`` but p and its mark."""
+    return _rounded(corr_pvalues(spark, sf_dir).drop("p", "sig"))
+
+
 @query()
 def corr_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations with p, significance marks and earlier runs' values."""
@@ -221,10 +230,10 @@ def pos_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- words
 
-#: A dictionary from the documents' own vocabulary: one entry in five has a level that isn't valid, some are lemmas.
+#: A dictionary of the documents' own vocabulary, of words of any length: some first letters have no entries, some have levels that aren't valid, some entries are lemmas.
 DICTIONARY = """
 vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents),
-dictionary AS (SELECT word, CASE ascii(word) % 8 WHEN 1 THEN 'A1' WHEN 2 THEN 'A2' WHEN 3 THEN 'B1' WHEN 4 THEN 'B2' WHEN 5 THEN 'C1' WHEN 6 THEN 'C2' WHEN 7 THEN 'X9' ELSE '' END AS min_level FROM vocabulary WHERE length(word) <= 6)"""
+dictionary AS (SELECT word, CASE ascii(word) % 8 WHEN 1 THEN 'A1' WHEN 2 THEN 'A2' WHEN 3 THEN 'B1' WHEN 4 THEN 'B2' WHEN 5 THEN 'C1' WHEN 6 THEN 'C2' WHEN 7 THEN 'X9' ELSE '' END AS min_level FROM vocabulary WHERE ascii(word) % 9 <> 0)"""
 WORDS = f"""
 tokens AS (SELECT essay_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM essays),
 lemmas AS (SELECT essay_id, word, CASE WHEN length(word) > 4 THEN substr(word, 1, length(word) - 1) ELSE word END AS lemma FROM tokens),
@@ -238,7 +247,7 @@ word_rows AS (
 
 
 def _word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).distinct().where(F.length("word") <= 6)
+    documents = _table(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).distinct().where(F.ascii("word") % 9 != 0)
     level = F.element_at(F.array(*[F.lit(x) for x in ("", *LEVELS, "X9")]), F.ascii("word") % 8 + 1)
     dictionary = documents.select("word", level.alias("min_level"))
     tokens = view(spark, sf_dir, "essays").select("essay_id", F.explode(text.words(F.col("text"))).alias("word"))
@@ -257,12 +266,13 @@ def word_indices_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indices.scored(_word_rows(spark, sf_dir), view(spark, sf_dir, "essays"))
 
 
-KEYED = "phrases AS (SELECT * REPLACE (CAST(CAST(regexp_extract(essay_id, '[0-9]+$') AS BIGINT) % 997 AS STRING) AS essay_id) FROM indices QUALIFY row_number() OVER (PARTITION BY CAST(regexp_extract(essay_id, '[0-9]+$') AS BIGINT) % 997 ORDER BY CAST(regexp_extract(essay_id, '[0-9]+$') AS BIGINT)) = 1)"
+#: A document joins the answer whose order has its number.
+KEYED = "phrases AS (SELECT * REPLACE (CAST(CAST(regexp_extract(essay_id, '[0-9]+$') AS BIGINT) AS STRING) AS essay_id) FROM indices)"
 JOINED = f"{ANSWERS}, {KEYED}, {DICTIONARY.strip()}, {WORDS.strip()}, both_rows AS (SELECT w.*, e.total_score, p.* EXCLUDE (essay_id, total_score, n_phrases) FROM word_rows w JOIN essays e ON w.essay_id = e.essay_id JOIN phrases p ON p.essay_id = w.essay_id WHERE e.total_score > 0)"
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and the answers whose order has their number; the SQL that checks this still folds orders into 997."""
+    """Documents and the answers whose order has their number."""
     number = F.regexp_extract("essay_id", "[0-9]+$", 0).cast("long")
     phrases = ph_indices_answer(spark, sf_dir).withColumn("essay_id", number.cast("string"))
     return indices.joined_indices(word_indices_scored(spark, sf_dir), phrases)
@@ -281,6 +291,51 @@ def ols_r2_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.round(F.col("cov")[1] * F.col("cov")[1] / (F.col("cov")[0] * F.col("cov")[2]), 9).alias("r2"), "n")
 
 
+PREDICTORS = (*stats.WORD_BLOCK, *stats.PHRASE_BLOCK)
+
+
+def _eliminated(name: str, source: str, gone: list[int], left: list[int]) -> tuple[list[str], str]:
+    """Steps that take predictors out of the covariances one by one: what is left of the outcome's variance is unexplained."""
+    steps, at = [], lambda i, j: f"a_{min(i, j)}_{max(i, j)}"
+    for k in gone:
+        left = [i for i in left if i != k]
+        columns = ", ".join(f"{at(i, j)} - CASE WHEN {at(k, k)} > 1e-12 THEN {at(i, k)} * {at(j, k)} / {at(k, k)} ELSE 0 END AS {at(i, j)}" for i in left for j in left if i <= j)
+        steps.append(f"{name}{k} AS (SELECT grp, {columns} FROM {source})")
+        source = f"{name}{k}"
+    return steps, source
+
+
+def _regression_sql() -> str:
+    """R² of both blocks and the F of the gain, overall and by genre, from covariances."""
+    columns, y, first = (*PREDICTORS, "total_score"), len(PREDICTORS), len(stats.WORD_BLOCK)
+    moments = ", ".join(f"covar_pop({columns[i]}, {columns[j]}) AS a_{i}_{j}" for i in range(y + 1) for j in range(i, y + 1))
+    start = f"m AS (SELECT CASE WHEN grouping(genre) = 1 THEN 'overall' ELSE genre END AS grp, count(*) AS n, {moments} FROM both_rows JOIN (SELECT essay_id, genre FROM genres) USING (essay_id) GROUP BY GROUPING SETS ((), (genre)))"
+    word, w = _eliminated("w", "m", list(range(first)), list(range(y + 1)))
+    both, b = _eliminated("b", w, list(range(first, y)), list(range(first, y + 1)))
+    phrase, p = _eliminated("p", "m", list(range(first, y)), list(range(first, y + 1)))
+    v = f"a_{y}_{y}"
+    fits = f"""fits AS (
+  SELECT m.grp, n, m.n >= {stats.LEAST_GROUP} AND m.{v} > 0 AS ok, 1 - {w}.{v} / m.{v} AS r2_word, 1 - {b}.{v} / m.{v} AS r2_both, 1 - {p}.{v} / m.{v} AS r2_phrase
+  FROM m JOIN {w} ON m.grp = {w}.grp JOIN {b} ON m.grp = {b}.grp JOIN {p} ON m.grp = {p}.grp)"""
+    steps = ", ".join([start, *word, *both, *phrase, fits])
+    shown = ", ".join(f"CASE WHEN ok THEN round({x}, 6) END AS {n}" for n, x in {
+        "r2_word": "r2_word", "r2_both": "r2_both", "r2_phrase": "r2_phrase", "delta_r2": "r2_both - r2_word", "f": f"((r2_both - r2_word) / {y - first}) / ((1 - r2_both) / (n - {y + 1}))",
+    }.items())
+    return f"{JOINED}, {GENRES}, {steps} SELECT grp, n, CASE WHEN ok THEN 'ok' ELSE 'skipped' END AS status, {shown} FROM fits"
+
+
+@query(_regression_sql(), "inventory", "hits", "essays")
+def hier_f_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested test up to its p: R² of either block and of both, and F, overall and by genre."""
+    return _rounded(hier_f_test(spark, sf_dir).drop("p", "sig"), 6)
+
+
+@query(f"SELECT round(r2_word, 6) AS r2_word, round(r2_both, 6) AS r2_both, round(r2_phrase, 6) AS r2_phrase, n FROM ({_regression_sql()}) WHERE grp = 'overall'", "inventory", "hits", "essays")
+def ols_r2_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R² of the word block, of the phrase block, and of all five predictors."""
+    return _rounded(hier_f_test(spark, sf_dir).where("grp = 'overall'").select("r2_word", "r2_both", "r2_phrase", "n"), 6)
+
+
 @query()
 def hier_f_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word block, word and phrase block: overall and by genre."""
@@ -393,17 +448,17 @@ def wsd_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- vectors
 
 NEAR = """
-targets AS (SELECT term, vec_id AS gold_id, label AS gold_no, embedding AS t FROM vectors WHERE vec_id % 50 < 25),
-anchors AS (SELECT term, CAST(row_number() OVER (PARTITION BY term ORDER BY vec_id) AS INT) AS sense_no, label, embedding AS s FROM vectors WHERE vec_id % 50 >= 25),
+targets AS (SELECT term, vec_id AS gold_id, label AS gold_no, embedding AS t FROM vectors WHERE vec_id % 20 < 10),
+anchors AS (SELECT term, CAST(row_number() OVER (PARTITION BY term ORDER BY vec_id) AS INT) AS sense_no, label, embedding AS s FROM vectors WHERE vec_id % 20 >= 10),
 sims AS (SELECT g.term, gold_id AS gold_no, sense_no, round(list_cosine_similarity(CAST(t AS DOUBLE[]), CAST(s AS DOUBLE[])), 9) AS sim FROM targets g JOIN anchors a ON g.term = a.term)"""
 
 
 @query(f"WITH {NEAR.strip()}, {PREDICTED.strip()} {RESULT}", "vectors")
 def embedding_wsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets and senses as given vectors."""
+    """Targets and senses as given vectors: a phrase has ten of each, and phrases grow with the table."""
     rows = view(spark, sf_dir, "vectors")
-    targets = rows.where("vec_id % 50 < 25").select("term", F.col("vec_id").alias("gold_no"), F.col("embedding").alias("vec"))
-    numbers = rows.where("vec_id % 50 >= 25").groupBy("term").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("all"))
+    targets = rows.where("vec_id % 20 < 10").select("term", F.col("vec_id").alias("gold_no"), F.col("embedding").alias("vec"))
+    numbers = rows.where("vec_id % 20 >= 10").groupBy("term").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("all"))
     anchors = numbers.select("term", F.posexplode("all").alias("pos", "one")).select("term", (F.col("pos") + 1).alias("sense_no"), F.col("one.embedding").alias("vec"))
     return _tidy(wsd.predicted(wsd.vector_similarities(anchors, targets), places=9))
 
@@ -459,7 +514,20 @@ def token_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir).withColumn("tokens", tokens).select("doc_id", spans.covered_tokens(F.col("tokens"), F.col("span")).alias("at"))
 
 
-@query()
+LEMMA_SPAN = f"""{SPAN.strip()},
+runs AS (SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\\p{{L}}+|\\P{{L}}+') AS r FROM spans)),
+placed AS (SELECT *, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY pos) AS ce FROM runs),
+lettered AS (SELECT doc_id, lower(run) AS w, ce - length(run) AS cs, ce, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM placed WHERE regexp_matches(run, '\\p{{L}}')),
+one AS (SELECT s.doc_id, any_value(kw) AS kw, min(i) AS i1 FROM spans s LEFT JOIN lettered t ON t.doc_id = s.doc_id AND t.w = s.kw[1] GROUP BY s.doc_id),
+two AS (SELECT s.*, m, coalesce(m, f) AS i2, coalesce(m + 1, i1 + 1) AS next2 FROM one s LEFT JOIN (
+  SELECT s.doc_id, min(i) FILTER (i > i1) AS m, min(i) AS f FROM one s JOIN lettered t ON t.doc_id = s.doc_id AND t.w = s.kw[2] GROUP BY s.doc_id) x ON s.doc_id = x.doc_id),
+three AS (SELECT s.*, coalesce(m3, f3) AS i3 FROM two s LEFT JOIN (
+  SELECT s.doc_id, min(i) FILTER (i >= next2) AS m3, min(i) AS f3 FROM two s JOIN lettered t ON t.doc_id = s.doc_id AND t.w = s.kw[3] GROUP BY s.doc_id) x ON s.doc_id = x.doc_id),
+told AS (SELECT * FROM three WHERE len(kw) > 0 AND i1 IS NOT NULL AND (len(kw) < 2 OR i2 IS NOT NULL) AND (len(kw) < 3 OR i3 IS NOT NULL)),
+lemma_spans AS (SELECT g.doc_id, min(cs) AS low, max(ce) AS high FROM told g JOIN lettered t ON t.doc_id = g.doc_id AND t.i IN (i1, i2, i3) GROUP BY g.doc_id)"""
+
+
+@query(f"WITH {LEMMA_SPAN} SELECT s.doc_id, CAST(coalesce(low, span_start) AS INT) AS span_start, CAST(coalesce(high, span_end) AS INT) AS span_end FROM spans s LEFT JOIN lemma_spans l ON s.doc_id = l.doc_id", "sentences")
 def lemma_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans by lemma, from the plain analyzer, and else by characters."""
     rows = encoders.lemma_tokens(view(spark, sf_dir, "sentences"), encoders.PlainAnalyzer)
