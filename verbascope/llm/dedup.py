@@ -7,10 +7,10 @@ order is one item. Two texts share an item with a probability near the
 Jaccard similarity of their labelled runs to the power ``ell`` if those runs
 also keep their order, so the sketch follows edit similarity.
 
-Candidates share an item. First each text is compared with one leader, the
-first member of most of its buckets, which joins groups of copies at a cost in
-proportion to their rows; that is done ``LEADER_ROUNDS`` times with other
-leaders. What is then left in buckets of several classes, of whatever size, is
+Candidates share an item. First each text is compared with up to ``LEADERS``
+leaders, the first members of most of its buckets, which joins groups of copies
+at a cost in proportion to their rows; that is done ``LEADER_ROUNDS`` times
+with other leaders. What is then left in buckets of several classes, of whatever size, is
 compared to the end: a link needs so many words in common that two linked
 texts share one of their rarest words (the prefix filter of similarity joins),
 so the texts meet by those words, in lists that are made distinct before they
@@ -46,19 +46,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verbascope.llm.common import Shelf, over_batches, stored, table
+from verbascope.llm.common import Shelf, over_batches, salt, salts, split, stored, table
 
 #: Words to a run, runs to an item, items to a sketch; least similarity of a link.
 K, ELL, ITEMS, SIMILARITY = 5, 3, 24, 0.8
 #: A worker forgets word hashes beyond so many.
 MEMORY = 200_000
-#: Times that each text is compared with a leader before all that is left is compared.
-LEADER_ROUNDS = 2
-#: Parts into which a hot bucket is split before it is joined.
-SALTS = 63
+#: Times that each text is compared with leaders before all that is left is compared, and leaders each time, at most.
+LEADER_ROUNDS, LEADERS = 2, 4
 #: Slots of the counts that order words by how rare they are; 8 bytes each.
 SLOTS = 1 << 20
 #: Members to a list of the texts that have a rare word.
@@ -273,20 +271,6 @@ def sketches(docs: DataFrame, k: int = K, ell: int = ELL, items: int = ITEMS) ->
     return over_batches(rows, "doc_id long, key binary, n_words int, items array<long>", make)
 
 
-def salt(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
-
-
-def salts() -> Column:
-    """The salts of a group's rows, as a bit set."""
-    return F.expr("bit_or(shiftleft(1L, salt))").alias("salts")
-
-
-def split(places: DataFrame) -> DataFrame:
-    """A row of ``places`` for each salt in its bit set ``salts``."""
-    return places.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1))).drop("salts")
-
-
 def meeting(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The ``rows`` (``key``, id, ...) whose ``key`` comes with several of ``value``.
 
@@ -299,13 +283,14 @@ def meeting(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def with_leaders(members: DataFrame, turn: int) -> DataFrame:
-    """The pairs (a, b) of each text with the leader of most of its buckets, where that is of another class."""
+    """The pairs (a, b) of each text with the leaders of most of its buckets, where those are of another class."""
     salted = members.withColumn("salt", salt("id"))
     first = salted.groupBy("item").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("b"), salts())
     led = salted.join(split(first), ["item", "salt"]).where("id != b")
     times = led.groupBy("id", "b").agg(F.count("*").alias("times"), F.min("label").alias("label"))
-    # the most frequent leader, of equally frequent ones any: which one is compared first doesn't change the classes
-    best = times.groupBy("id").agg(F.max_by("b", F.expr("shiftleft(times, 50) + shiftrightunsigned(xxhash64(b), 14)")).alias("b"), F.min("label").alias("label"))
+    # of equally frequent leaders any come first: which are compared in a round doesn't change the classes
+    first = Window.partitionBy("id").orderBy(F.desc("times"), F.xxhash64("b"), "b")
+    best = times.withColumn("place", F.row_number().over(first)).where(F.col("place") <= LEADERS).select("id", "b", "label")
     other = members.select(F.col("id").alias("b"), F.col("label").alias("b_label")).distinct()
     return best.join(other, "b").where("label != b_label").select(F.col("id").alias("a"), "b")
 
@@ -383,18 +368,25 @@ def rarest(words: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarr
 
 
 def slot_counts(texts: DataFrame) -> np.ndarray:
-    """How many occurrences of ``texts`` fall into each of ``SLOTS`` slots; the driver gets no more than those."""
+    """How many occurrences of ``texts`` (label, text) fall into each of ``SLOTS`` slots; 0 where all are of one class.
+
+    A task sums its rows in arrays of that size, and the driver gets no more rows than that.
+    """
 
     def run(batches):
         known, counts = WordHash(), np.zeros(SLOTS, np.int64)
+        low, high = np.full(SLOTS, np.iinfo(np.int64).max), np.full(SLOTS, np.iinfo(np.int64).min)
         for batch in batches:
-            for text in batch["text"].to_pylist():
+            for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = words_of(text)
-                np.add.at(counts, occurrences(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))) % np.uint64(SLOTS), 1)
+                slots = occurrences(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))) % np.uint64(SLOTS)
+                np.add.at(counts, slots, 1)
+                low[slots], high[slots] = np.minimum(low[slots], label), np.maximum(high[slots], label)
         full = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, counts[full], low[full], high[full])], ["slot", "n", "low", "high"])
 
-    found = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sums = texts.select("label", "text").mapInArrow(run, "slot long, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = sums.where("low != high").select("slot", "n").toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     return counts
@@ -403,7 +395,9 @@ def slot_counts(texts: DataFrame) -> np.ndarray:
 def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: Shelf) -> DataFrame:
     """The pairs (a, b) of the ``members`` (item, id, label) of different classes whose rarest words and lengths allow a link."""
     open_ids = members.select("id", "label").distinct()
-    own = shelf.put(texts.join(open_ids, "id").select("id", "label", "n_words", "text"), "open")
+    # their texts cost Python's time rather than bytes, so they are spread as asked and not packed by size
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = shelf.put(texts.join(open_ids, "id").select("id", "label", "n_words", "text").repartition(tasks, "id"), "open")
     counts = slot_counts(own)
 
     def make():
@@ -414,14 +408,16 @@ def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: S
             for text in batch["text"].to_pylist():
                 words = words_of(text)
                 first = rarest(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), counts, similarity)
-                # a slot with one occurrence holds a word that no other text has
-                made.append(first[counts[first % np.uint64(SLOTS)] > 1].view(np.int64))
+                # words that no other class has come first, and nothing meets by them
+                made.append(first[counts[first % np.uint64(SLOTS)] > 0].view(np.int64))
             return {**{c: batch[c] for c in ("id", "label", "n_words")}, "words": pa.array(made, pa.list_(pa.int64()))}
 
         return step
 
     rare = shelf.put(over_batches(own, "id long, label long, n_words int, words array<long>", make), "rare")
-    rows = shelf.put(meeting(rare.select(F.explode("words").alias("word"), "id", "label", "n_words").distinct(), "word", "label"), "words")
+    # a text's rarest occurrences differ from each other; one row each is written, as they are read twice
+    rows = shelf.put(rare.select(F.explode("words").alias("word"), "id", "label", "n_words"), "rare-words")
+    rows = shelf.put(meeting(rows, "word", "label"), "words")
     largest = rows.groupBy("word").count().agg(F.max("count")).first()[0] or 0
     blocks = -(-largest // LISTED) or 1
     # the same block for a text in all lists, so what a text meets in a block is made distinct in one place
@@ -446,7 +442,7 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float, shelf: Shelf) -> DataFrame:
-    """key, did, salts, label of every different text of ``docs``; ``did`` is its least id, and equal labels are classes."""
+    """key, did, salts, label of every different text of ``docs``; ``did`` is its least id, ``salts`` are its rows', and equal labels are classes."""
     rows = shelf.put(sketches(docs).withColumn("did", F.coalesce("doc_id", F.lit(NO_ID))), "sketches").withColumn("salt", salt("did"))
     # equal texts have equal items; columns of longs are aggregated by hash where arrays would be sorted
     firsts = [F.max(F.get("items", F.lit(j))).alias(f"item{j}") for j in range(ITEMS)]
@@ -475,8 +471,10 @@ def winners(placed: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, kept of every row of ``docs``, from a table in the shared folder that is the caller's."""
     with Shelf(docs.sparkSession, "dedup") as shelf:
-        placed = shelf.put(classes(docs, similarity, shelf), "classes")
-        named = placed.join(winners(placed), "label").select("key", "first_did", F.col("first_key"), "salts")
+        placed = shelf.put(classes(docs, similarity, shelf).withColumnRenamed("salts", "copies").withColumn("salt", salt("key")), "classes")
+        # large classes and large groups of copies are both joined by salts
+        named = winners(placed).join(placed.groupBy("label").agg(salts()), "label")
+        named = placed.join(split(named), ["label", "salt"]).select("key", "first_did", "first_key", F.col("copies").alias("salts"))
         rows = identified(docs).select("key", "did", salt("did").alias("salt"))
         out = rows.join(split(named), ["key", "salt"]).select(
             F.nullif("did", F.lit(NO_ID)).alias("doc_id"), F.nullif("first_did", F.lit(NO_ID)).alias("class_id"), ((F.col("did") == F.col("first_did")) & (F.col("key") == F.col("first_key"))).alias("kept")
