@@ -6,7 +6,7 @@ import pytest
 from verbascope.operators import encoders, indices, stats
 from verbascope.plans import cli, reports
 from verbascope.sources import files, workbooks
-from verbascope.streaming.indices import follow
+from verbascope.streaming.indices import follow, latest
 from tests.test_indices import HITS, hits, levels
 
 
@@ -20,7 +20,7 @@ def test_workbook_round_trip(tmp_path, spark):
         {"row_no": 2, "term": "x", "sense_no": "2.5", "definition": None, "level": None},
         {"row_no": 3, "term": None, "sense_no": "3", "definition": " b ", "level": "True"},
     ]
-    assert workbooks.read_inventory(spark, str(path)).where("term = 'go on'").first()["sense_no"] == 1
+    assert workbooks.read_inventory(spark, str(path)).where("term = 'go on'").first()["sense_no"] == "1"
 
 
 def test_csv(tmp_path, spark):
@@ -64,14 +64,16 @@ def test_phrase_command(tmp_path, spark):
     assert saved[1] == "PH_ratio_A1,0.1250,0.1250,2,nan,nan,-0.109,-0.132"
 
 
-def test_regression_command(tmp_path, spark):
+def test_regression_command(tmp_path, spark, capsys):
     words = [f"{a}{b}" for a in "abcdef" for b in "ghij"]
     (tmp_path / "e.xml").write_text("<r>" + "".join(f"<essay><essay_id>e{i}</essay_id><paragraph>{'Dear ' if i % 2 else ''}{' '.join(words[(i * k) % 24] for k in range(1, 9))}</paragraph><total_score>{1 + i % 7}</total_score></essay>" for i in range(80)) + "</r>")
     spark.createDataFrame([(w, indices.LEVELS[k % 6]) for k, w in enumerate(words)], "word string, min_level string").write.parquet(str(tmp_path / "d"))
     lines = ["essay_id," + ",".join(indices.PHRASE_COLUMNS[1:])] + [f"e{i},1,3," + ",".join(str((i * (k + 3)) % 11 / 11) for k in range(17)) for i in range(78)]
     (tmp_path / "p.csv").write_text("\n".join(lines), encoding="utf-8-sig")
+    capsys.readouterr()
     args = argparse.Namespace(essays=str(tmp_path / "e.xml"), dictionary=str(tmp_path / "d"), phrase_indices=str(tmp_path / "p.csv"), out=str(tmp_path / "w.csv"), survival=False)
     got = {r["grp"]: r for r in cli.regression(spark, args, encoders.PlainAnalyzer).collect()}
+    assert "体裁分布: {'书信': 39, '议论·文章': 39}" in capsys.readouterr().out
     assert got["overall"]["n"] == 78 and got["letter"]["status"] == "ok" and 0 <= got["overall"]["r2_word"] <= got["overall"]["r2_both"] <= 1
     assert len((tmp_path / "w.csv").read_text(encoding="utf-8-sig").splitlines()) == 79
 
@@ -87,12 +89,18 @@ def test_stream(tmp_path, spark, unit):
     folder = str(tmp_path / "hits")
     parts = hits(spark)
     parts.where("row_no < 4").write.mode("append").parquet(folder)
-    query = follow(spark, folder, HITS, levels(spark), f"live_{unit}", unit)
+    query = follow(spark, folder, HITS, levels(spark), str(tmp_path / "live"), unit)
     try:
         query.processAllAvailable()
         parts.where("row_no >= 4").write.mode("append").parquet(folder)
         query.processAllAvailable()
         whole = indices.phrase_indices(indices.resolved(parts, levels(spark)), unit)
-        assert {tuple(r) for r in spark.table(f"live_{unit}").collect()} == {tuple(r) for r in whole.collect()}
+        assert {tuple(r) for r in latest(spark, str(tmp_path / "live")).collect()} == {tuple(r) for r in whole.collect()}
+        # a score that goes missing takes its group out
+        gone = parts.limit(1).selectExpr("* EXCEPT (row_no, total_score)", "999L AS row_no", "CAST(NULL AS DOUBLE) AS total_score").select(*parts.columns)
+        gone.write.mode("append").parquet(folder)
+        query.processAllAvailable()
+        whole = indices.phrase_indices(indices.resolved(parts.union(gone), levels(spark)), unit)
+        assert {tuple(r) for r in latest(spark, str(tmp_path / "live")).collect()} == {tuple(r) for r in whole.collect()}
     finally:
         query.stop()

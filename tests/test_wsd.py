@@ -110,13 +110,38 @@ def test_phrase_vectors(spark):
 
 @pytest.mark.parametrize("encoder", ["tfidf", "bert", "bert_sentence", "bert_phrase"])
 def test_encoders_end_to_end(spark, senses, encoder):
-    found, matches = cli.similarities(senses, encoder, "def+ex", encoders.HashingEncoder, encoders.HashingEncoder, encoders.PlainAnalyzer)
+    found, matches, log = cli.similarities(senses, encoder, "def+ex", encoders.HashingEncoder, encoders.HashingEncoder, encoders.PlainAnalyzer)
     details = wsd.detailed(wsd.predicted(found), senses, matches).cache()
     assert details.count() == 4 and (encoder == "bert_phrase") == (details.where("target_matched").count() > 0)
     book = reports.evaluation_workbook(details, "e", "s")
     lines = list(workbooks.rows(book))
     assert len(lines) == 4 and set(lines[0]) == set(reports.DETAIL_HEADERS) and {x["是否正确"] for x in lines} <= {"✓", "✗"}
-    assert "Accuracy" in reports.evaluation_console(details, "e", "s")
+    shown = reports.evaluation_console(details, "e", "s", log)
+    assert "Accuracy" in shown and ("[匹配方式]" in shown) == (encoder == "bert_phrase") == (log is not None)
+    if log is not None:
+        stats = {(r["by"], r["value"]): r["total"] for r in wsd.match_stats(log).collect()}
+        assert stats["label", "target"] == 4 and "match_method_actual" in log.columns
+
+
+def test_the_true_method_beside_the_named_one(spark):
+    """With lemmas every match is called one by lemma; the true method tells those by characters apart."""
+    rows = spark.createDataFrame([("make up", "He made up"), ("make up", "remake it upward"), ("make up", "no")], "term string, text string")
+    lemmas = F.when(F.col("text").startswith("He"), F.array(*[F.struct(F.lit(a).alias("lemma"), F.lit(b).alias("orig"), F.lit(c).alias("cs"), F.lit(d).alias("ce")) for a, b, c, d in (("he", "he", 0, 2), ("make", "made", 3, 7), ("up", "up", 8, 10))]))
+    tokens = encoders.token_vectors(rows, encoders.HashingEncoder).withColumn("lemmas", F.coalesce(lemmas, F.array().cast("array<struct<lemma:string,orig:string,cs:int,ce:int>>")))
+    found = encoders.phrase_vectors(tokens, lemmas="lemmas").withColumns({"label": F.lit("target"), "weight": F.lit(1)})
+    log = {r["text"]: (r["match_method"], r["match_method_actual"]) for r in wsd.match_log(found, has_lemmas=True).collect()}
+    assert log == {"He made up": ("lemma", "lemma"), "remake it upward": ("lemma", "exact"), "no": ("fallback", "fallback")}
+    assert [tuple(r) for r in wsd.by_method(wsd.match_stats(wsd.match_log(found, True))).collect()] == [("fallback", 0), ("lemma", 2)]
+
+
+def test_senses_numbered_by_text(spark):
+    """Sense numbers as text sort as numbers where they are, and text after them; ties go to the first."""
+    rows = spark.createDataFrame([("a", "1", "10", 0.5), ("a", "1", "9", 0.5), ("a", "1", "2a", 0.1), ("b", "x", "x", 0.2), ("b", "x", "y", 0.9)], "term string, gold_no string, sense_no string, sim double")
+    got = {r["term"]: r for r in wsd.predicted(rows).collect()}
+    assert got["a"]["pred_no"] == "9" and got["a"]["sims"] == [0.5, 0.5, 0.1] and got["b"]["pred_no"] == "y" and not got["b"]["is_correct"]
+    senses = spark.createDataFrame([("a", "10", "x"), ("a", "2", "y"), ("a", "2a", "z"), ("a", None, "n")], "term string, sense_no string, definition string")
+    assert [s["sense_no"] for s in wsd.senses_in_order(senses.where("sense_no IS NOT NULL")).first()["senses"]] == ["2", "10", "2a"]
+    assert reports.plain("12") == 12 and reports.plain("2a") == "2a" and reports.plain(3) == 3
 
 
 def test_content_words(spark):

@@ -31,6 +31,11 @@ def as_text(value: Column) -> Column:
     return stripped(F.regexp_replace(value.cast("string"), r"\A(-?\d+)\.0\z", "$1"))
 
 
+def number_order(value: Column) -> Column:
+    """What sorts numbers by size, given as numbers or as text, and before other text."""
+    return F.struct(F.coalesce(value.cast("string").try_cast("double"), F.lit(float("inf"))).alias("number"), value.cast("string").alias("text"))
+
+
 def clean(text: Column) -> Column:
     """Without bracketed notes, which don't cross a line's end, and with single blanks; null becomes empty."""
     without = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[[^\n]*?\]", "")

@@ -27,4 +27,4 @@ def pooled(vectors: Column, mask: Column | None = None) -> Column:
 
 def first_best(value: Column, score: Column, order: Column) -> Column:
     """An aggregate: the value of the greatest score, the least ``order`` on ties."""
-    return F.max_by(value, F.struct(score, -order))
+    return F.min_by(value, F.struct(-score, order))

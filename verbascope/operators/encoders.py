@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbascope.functions.spans import covered_tokens, phrase_span
+from verbascope.functions.spans import covered_tokens, exact_span, lemma_span
 from verbascope.functions.text import keywords, pos_class
 from verbascope.functions.vectors import pooled
 
@@ -91,15 +91,18 @@ def encoded(rows: DataFrame, factory: Callable[[], Encoder], text: str = "text",
 TOKENS = "array<struct<start:int,end:int,vec:array<float>>>"
 
 
-def token_vectors(rows: DataFrame, factory: Callable[[], TokenVectors], text: str = "text") -> DataFrame:
-    """``rows`` with ``tokens``: places and vectors of each text's tokens."""
+def token_vectors(rows: DataFrame, factory: Callable[[], TokenVectors], text: str = "text", batch: int = 32) -> DataFrame:
+    """``rows`` with ``tokens``: places and vectors of each text's tokens; ``batch`` texts of like length go through the model together."""
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", tokens {TOKENS}"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for part in parts:
-            found = model.tokens(part[text].fillna("").tolist())
-            yield part.assign(tokens=[[{"start": s, "end": e, "vec": [float(x) for x in v]} for s, e, v in t] for t in found])
+            order = part[text].fillna("").str.len().argsort(kind="stable").to_numpy()
+            for at in range(0, len(part), batch):
+                some = part.iloc[order[at : at + batch]]
+                found = model.tokens(some[text].fillna("").tolist())
+                yield some.assign(tokens=[[{"start": s, "end": e, "vec": np.asarray(v, np.float32)} for s, e, v in t] for t in found])
 
     return rows.mapInPandas(run, schema)
 
@@ -110,9 +113,17 @@ def sentence_vectors(rows: DataFrame) -> DataFrame:
 
 
 def phrase_vectors(rows: DataFrame, text: str = "text", phrase: str = "term", lemmas: str | None = None) -> DataFrame:
-    """``rows`` (tokens) with the phrase's span and tokens and vec: their mean, or that of all but the first and last token."""
-    span = phrase_span(F.col(text), keywords(F.col(phrase)), None if lemmas is None else F.col(lemmas))
-    rows = rows.withColumn("span", span).withColumn("at", covered_tokens(F.col("tokens"), F.col("span")))
+    """``rows`` (tokens) with the phrase's span and tokens and vec: their mean, or that of all but the first and last token.
+
+    ``span_by`` tells how the phrase was found: by ``lemma``, if that covers a token, else by ``exact`` characters.
+    """
+    rows = rows.withColumn("span", exact_span(F.col(text), keywords(F.col(phrase)))).withColumn("span_by", F.lit("exact"))
+    if lemmas is not None:
+        rows = rows.withColumn("_lemma", lemma_span(F.col(lemmas), keywords(F.col(phrase))))
+        found = F.size(covered_tokens(F.col("tokens"), F.col("_lemma"))) > 0
+        rows = rows.withColumns({"span": F.when(found, F.col("_lemma")).otherwise(F.col("span")), "span_by": F.when(found, "lemma").otherwise("exact")}).drop("_lemma")
+    rows = rows.withColumn("at", covered_tokens(F.col("tokens"), F.col("span")))
+    rows = rows.withColumn("span_by", F.when(F.size("at") > 0, F.col("span_by")))
     chosen = F.transform("at", lambda i: F.get("tokens", i)["vec"])
     inner = F.transform(F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(0))), lambda t: t["vec"])
     vec = pooled(F.when(F.size("at") > 0, chosen).otherwise(inner))

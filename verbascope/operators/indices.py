@@ -52,8 +52,17 @@ def level_ratios(prefix: str, names: tuple[str, ...], total: Column) -> dict[str
     return {f"{prefix}_ratio_{n}": count_levels(F.col("level"), groups[n]) / total for n in names}
 
 
+#: The groups that have indices: a valid level, and a positive score.
+COUNTED = "_n > 0 AND total_score > 0"
+
+
 def phrase_indices(hits: DataFrame, unit: str = "answer") -> DataFrame:
-    """One row for each answer, or each script, that has a valid level and a positive score; ``hits`` as ``resolved``.
+    """One row for each answer, or each script, that has a valid level and a positive score; ``hits`` as ``resolved``."""
+    return phrase_groups(hits, unit).where(COUNTED).select(*PHRASE_COLUMNS)
+
+
+def phrase_groups(hits: DataFrame, unit: str = "answer") -> DataFrame:
+    """The indices of every answer, or script, with ``_n``, its hits with a level.
 
     Level indices are shares of the hits with a level, properties of phrases
     shares of all hits. Counts and sums are whole numbers and are divided
@@ -75,8 +84,7 @@ def phrase_indices(hits: DataFrame, unit: str = "answer") -> DataFrame:
         "total_score": last_value("total_score").cast("double"),
         "_n": n,
     }
-    groups = rows.groupBy("essay_id").agg(*[c.alias(k) for k, c in measures.items()])
-    return groups.where("_n > 0 AND total_score > 0").select(*PHRASE_COLUMNS)
+    return rows.groupBy("essay_id").agg(*[c.alias(k) for k, c in measures.items()]).select(*PHRASE_COLUMNS, "_n")
 
 
 def dictionary_levels(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbascope.functions.text import clean, examples, keywords, sense_text, terms
+from verbascope.functions.text import clean, examples, keywords, number_order, sense_text, terms
 from verbascope.functions.vectors import cosine, first_best
 from verbascope.operators.ordering import first_wins
 
@@ -29,7 +29,8 @@ def evaluable(inventory: DataFrame) -> DataFrame:
 
 def senses_in_order(inventory: DataFrame) -> DataFrame:
     """term, senses: an array of a phrase's senses by number."""
-    return inventory.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("sense_no", "definition"))).alias("senses"))
+    ordered = F.array_sort(F.collect_list(F.struct(number_order(F.col("sense_no")).alias("_order"), "sense_no", "definition")))
+    return inventory.groupBy("term").agg(F.transform(ordered, lambda s: F.struct(s["sense_no"].alias("sense_no"), s["definition"].alias("definition"))).alias("senses"))
 
 
 def pairs(senses: DataFrame) -> DataFrame:
@@ -98,8 +99,8 @@ def predicted(similarities: DataFrame, places: int | None = None) -> DataFrame:
     sim = F.col("sim") if places is None else F.round("sim", places)
     rows = similarities.withColumn("sim", sim).groupBy("term", "gold_no").agg(
         F.count("*").alias("n_senses"),
-        first_best(F.col("sense_no"), F.col("sim"), F.col("sense_no")).alias("pred_no"),
-        F.transform(F.array_sort(F.collect_list(F.struct("sense_no", "sim"))), lambda x: x["sim"]).alias("sims"),
+        first_best(F.col("sense_no"), F.col("sim"), number_order(F.col("sense_no"))).alias("pred_no"),
+        F.transform(F.array_sort(F.collect_list(F.struct(number_order(F.col("sense_no")).alias("_order"), "sim"))), lambda x: x["sim"]).alias("sims"),
     )
     ranked = F.sort_array("sims", asc=False)
     gap = F.when(F.size("sims") > 1, F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1))).otherwise(1.0)
@@ -153,17 +154,19 @@ def match_log(sentences: DataFrame, has_lemmas: bool = False) -> DataFrame:
     of its phrase.
     """
     matched = F.col("n_tokens") > 0
+    actual = [F.when(matched, F.col("span_by")).otherwise("fallback").alias("match_method_actual")] if "span_by" in sentences.columns else []
     method = F.when(matched, "lemma" if has_lemmas else "exact").otherwise("fallback")
     return sentences.select(
         F.concat_ws(" ", keywords(F.col("term"))).alias("phrase"), "label", F.substring("text", 1, 80).alias("text"),
-        F.when(matched, "matched").otherwise("fallback").alias("status"), method.alias("match_method"), "n_tokens", "weight",
+        F.when(matched, "matched").otherwise("fallback").alias("status"), method.alias("match_method"), *actual, "n_tokens", "weight",
     )
 
 
 def match_stats(log: DataFrame) -> DataFrame:
     """total, matched, fallback, match_rate overall and by label, phrase and method, in one pass."""
     weight, hit = F.sum("weight"), F.sum(F.when(F.col("status") == "matched", F.col("weight")).otherwise(0))
-    sets = log.groupingSets([[], [log.label], [log.phrase], [log.match_method]], log.label, log.phrase, log.match_method)
+    label, phrase, method = F.col("label"), F.col("phrase"), F.col("match_method")
+    sets = log.groupingSets([[], [label], [phrase], [method]], label, phrase, method)
     rows = sets.agg(F.grouping_id().alias("g"), weight.alias("total"), hit.alias("matched"))
     by = F.when(F.col("g") == 7, "overall").when(F.col("g") == 3, "label").when(F.col("g") == 5, "phrase").otherwise("method")
     return rows.select(
@@ -172,6 +175,11 @@ def match_stats(log: DataFrame) -> DataFrame:
     ).where("total IS NOT NULL")
 
 
+def by_method(stats: DataFrame) -> DataFrame:
+    """value, matched of ``match_stats``: how many sentences each method matched, by its name."""
+    return stats.where("by = 'method'").select("value", "matched").orderBy("value")
+
+
 def sense_match_rates(log: DataFrame) -> DataFrame:
     """term, sense_match_rate: the mean over senses of the share of their sentences that matched; ``log`` has term, sense_no, matched."""
     each = log.groupBy("term", "sense_no").agg((F.count_if("matched") / F.count("*")).alias("rate"))

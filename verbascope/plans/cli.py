@@ -54,25 +54,30 @@ def phrase_indices(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def similarities(
     senses: DataFrame, encoder: str, strategy: str = "def+ex", sentence: Callable[[], encoders.Encoder] | None = None, context: Callable[[], encoders.TokenVectors] | None = None, analyzer: Callable[[], encoders.Analyzer] | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Similarities of all targets by any of the encoders, and for phrase vectors how they were matched."""
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Similarities of all targets by any of the encoders, and for phrase vectors how they were matched, by target and as a log."""
     targets = senses.select("term", F.col("sense_no").alias("gold_no"), F.col("clean_learner").alias("target"))
     texts = wsd.sense_texts(senses, strategy)
     if encoder == "tfidf":
-        return wsd.tfidf_similarities(texts, targets), None
+        return wsd.tfidf_similarities(texts, targets), None, None
     heard = targets.withColumnRenamed("target", "text")
     if encoder == "bert":
-        return wsd.vector_similarities(encoders.encoded(texts, sentence), encoders.encoded(heard, sentence)), None
+        return wsd.vector_similarities(encoders.encoded(texts, sentence), encoders.encoded(heard, sentence)), None, None
     if encoder == "bert_sentence":
         made = [encoders.sentence_vectors(encoders.token_vectors(x, context)) for x in (texts, heard)]
-        return wsd.vector_similarities(*made), None
+        return wsd.vector_similarities(*made), None, None
     made = []
     for rows in (wsd.anchor_texts(senses), heard):
         rows = encoders.token_vectors(rows, context)
         made.append(encoders.phrase_vectors(encoders.lemma_tokens(rows, analyzer), lemmas="lemmas") if analyzer else encoders.phrase_vectors(rows))
     found = [x.withColumn("matched", F.col("n_tokens") > 0) for x in made]
     matches = found[1].select("term", "gold_no", F.col("matched").alias("target_matched")).join(wsd.sense_match_rates(found[0]), "term")
-    return wsd.vector_similarities(wsd.anchors(made[0]), made[1]), matches
+    # an example is encoded anew for each target of its phrase, of which there are as many as senses
+    senses_of = senses.select("term", "n_senses").distinct()
+    columns = ("term", "label", "text", "n_tokens", "span_by", "weight")
+    said = made[0].join(senses_of, "term").withColumns({"label": F.lit("sense_ex"), "weight": F.col("n_senses")}).select(*columns)
+    log = wsd.match_log(said.union(made[1].withColumns({"label": F.lit("target"), "weight": F.lit(1).cast("long")}).select(*columns)), analyzer is not None)
+    return wsd.vector_similarities(wsd.anchors(made[0]), made[1]), matches, log
 
 
 def evaluate(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -87,10 +92,10 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         else:
             analyzer, suffix = (lambda: models.LemmaModel(args.spacy_model)), "bert_phrase_lemma"
     name = {"tfidf": "TF-IDF", "bert": model or "all-MiniLM-L6-v2"}.get(args.encoder, model or "bert-base-uncased")
-    found, matches = similarities(senses, args.encoder, args.strategy, lambda: models.SentenceModel(model or "all-MiniLM-L6-v2"), lambda: models.ContextModel(model or "bert-base-uncased"), analyzer)
+    found, matches, log = similarities(senses, args.encoder, args.strategy, lambda: models.SentenceModel(model or "all-MiniLM-L6-v2"), lambda: models.ContextModel(model or "bert-base-uncased"), analyzer)
     details = wsd.detailed(wsd.predicted(found), senses, matches).cache()
     strategy = reports.PHRASE_MODE if args.encoder == "bert_phrase" else args.strategy
-    print(reports.evaluation_console(details, name, strategy))
+    print(reports.evaluation_console(details, name, strategy, log))
     Path(args.out or f"wsd_eval_{suffix}.xlsx").write_bytes(reports.evaluation_workbook(details, name, strategy))
     return details
 
@@ -100,8 +105,10 @@ def regression(spark: SparkSession, args: argparse.Namespace, analyzer: Callable
     words = indices.dictionary_levels(encoders.content_words(essays, analyzer), files.read_dictionary(spark, args.dictionary))
     rows = indices.scored(indices.word_indices(words), essays)
     both = indices.joined_indices(rows, files.read_indices(spark, args.phrase_indices))
-    table = stats.hierarchical(both.join(essays.select("essay_id", genre(F.col("paragraphs")).alias("genre")), "essay_id"), survival=args.survival)
+    kinds = both.join(essays.select("essay_id", genre(F.col("paragraphs")).alias("genre")), "essay_id")
+    table = stats.hierarchical(kinds, survival=args.survival)
     print(f"essays that couldn't be read: {broken.count()}")
+    print(reports.genre_line(kinds))
     print(reports.regression_console(table))
     reports.save_word_indices(both, args.out)
     return table

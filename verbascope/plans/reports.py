@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import csv
 import math
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from verbascope.functions.text import ESSAY, LETTER, NARRATIVE, REPORT
+from verbascope.functions.text import ESSAY, LETTER, NARRATIVE, REPORT, number_order
 from verbascope.operators import wsd
 from verbascope.operators.indices import PHRASE_COLUMNS, WORD_COLUMNS
-from verbascope.sources.workbooks import workbook
+from verbascope.sources.workbooks import SHEET_ROWS, workbook
 
 # Names, headers and labels of the reports.
 GENRE_NAMES = {LETTER: "书信", ESSAY: "议论·文章", NARRATIVE: "记叙", REPORT: "报告", "overall": "总体"}
@@ -38,6 +40,7 @@ FOUND, NOT_FOUND, NOT_ASKED, RIGHT, WRONG, TIED = "✓matched", "✗fallback", "
 CONSOLE = {
     "encoder": "  编码器: {}", "strategy": "  策略  : {}", "accuracy": "  总体 Accuracy: {:.1%}  ({}/{})", "ties": "  平局数: {}", "per_n": "  按义项数:", "n": "    {} 义项: {:.1%}  ({}/{})",
     "rate": "\n  [消融分析] 短语 token 定位成功率: {:.1%}", "matched": "    ✓ 定位成功: {:.1%}  ({}/{})", "fallback": "    ✗ 退化整句: {:.1%}  ({}/{})",
+    "methods": "  [匹配方式] {}", "method": "{}: {}条", "genres": "  体裁分布: {}",
 }
 
 
@@ -97,12 +100,16 @@ def regression_console(table: DataFrame) -> str:
 
 
 def detail_lines(details: DataFrame) -> list[list]:
+    """A line for each target, by phrase and sense number; no more than a sheet has room for."""
     out: list[list] = [list(DETAIL_HEADERS)]
-    for r in details.orderBy("phrase", "gold_no").collect():
+    rows = details.orderBy("phrase", number_order(F.col("gold_no"))).limit(SHEET_ROWS).collect()
+    if len(rows) >= SHEET_ROWS:
+        raise ValueError(f"an evaluation of {SHEET_ROWS} targets or more doesn't fit a sheet; write its details as a table")
+    for r in rows:
         marks = [RIGHT if r["is_correct"] else WRONG, TIED if r["is_tie"] else ""]
         place = {None: NOT_ASKED, True: FOUND, False: NOT_FOUND}[r["target_matched"]]
         rate = NOT_ASKED if r["sense_match_rate"] is None else f"{r['sense_match_rate']:.0%}"
-        texts = [r[c] for c in ("phrase", "n_senses", "target", "gold_no", "gold_def", "pred_no", "pred_def")]
+        texts = [plain(r[c]) if c.endswith("_no") else r[c] for c in ("phrase", "n_senses", "target", "gold_no", "gold_def", "pred_no", "pred_def")]
         out.append([*texts, *marks, " | ".join(f"{s:.3f}" for s in r["sims"]), round(r["sim_gap"], 4), r["level"], place, rate])
     return out
 
@@ -122,7 +129,19 @@ def evaluation_workbook(details: DataFrame, encoder: str, strategy: str) -> byte
     return workbook({DETAIL_SHEET: detail_lines(details), SUMMARY_SHEET: sums, ABLATION_SHEET: split})
 
 
-def evaluation_console(details: DataFrame, encoder: str, strategy: str) -> str:
+def plain(number: object) -> object:
+    """A sense number as a number where it is one."""
+    return int(number) if isinstance(number, str) and re.fullmatch(r"-?\d{1,15}", number) else number
+
+
+def genre_line(rows: DataFrame) -> str:
+    """How many essays (genre) there are of each genre, in the order of the reports."""
+    found = {r["genre"]: r["count"] for r in rows.groupBy("genre").count().collect()}
+    return CONSOLE["genres"].format({GENRE_NAMES[x]: found[x] for x in (LETTER, ESSAY, NARRATIVE, REPORT) if x in found})
+
+
+def evaluation_console(details: DataFrame, encoder: str, strategy: str, log: DataFrame | None = None) -> str:
+    """Accuracy, and with a ``match_log`` how many sentences each method matched."""
     total = wsd.summary(details).first()
     values = {"encoder": [encoder], "strategy": [strategy], "accuracy": [total["accuracy"], total["correct"], total["total"]], "ties": [total["ties"]], "per_n": []}
     lines = [CONSOLE[k].format(*v) for k, v in values.items()]
@@ -131,4 +150,6 @@ def evaluation_console(details: DataFrame, encoder: str, strategy: str) -> str:
     if parts:
         lines.append(CONSOLE["rate"].format(wsd.match_rate(details).first()[0]))
         lines += [CONSOLE[k].format(parts[k]["accuracy"], parts[k]["correct"], parts[k]["total"]) for k in ABLATION_ROWS if k in parts]
+        if log is not None:
+            lines.append(CONSOLE["methods"].format("  ".join(CONSOLE["method"].format(*r) for r in wsd.by_method(wsd.match_stats(log)).collect())))
     return "\n".join(lines)

@@ -9,7 +9,9 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,7 +104,8 @@ def read_workbook(spark: SparkSession, path: str, columns: dict[str, str]) -> Da
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    return read_workbook(spark, path, INVENTORY).withColumn("sense_no", F.expr("try_cast(sense_no AS INT)"))
+    """The sense inventory; sense numbers are text, as some inventories number senses ``2a``."""
+    return read_workbook(spark, path, INVENTORY)
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
@@ -126,6 +129,26 @@ def _cell(value: object) -> str:
     return f"<c><v>{value!r}</v></c>"
 
 
+#: Rows of a sheet, with its header, at most.
+SHEET_ROWS = 1 << 20
+
+
+def write_workbooks(rows: DataFrame, folder: str, columns: dict[str, str], order: str, size: int = 10_000) -> None:
+    """``rows`` as workbooks of up to ``size`` rows with the headers of ``columns``, each of a range of ``order``, a number."""
+    names = list(columns)
+
+    def save(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        lines = [[None if x is None or x != x else x.item() if hasattr(x, "item") else x for x in line] for line in part.sort_values(order)[names].itertuples(index=False)]
+        fs, base = FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base}/part-{key[0]:012d}.xlsx", compression=None) as file:
+            file.write(workbook({"rows": [list(columns.values()), *lines]}))
+        return pd.DataFrame({"file": [key[0]]})
+
+    numbered = rows.withColumn("_chunk", F.floor(F.col(order) / size).cast("long"))
+    numbered.groupBy("_chunk").applyInPandas(save, "file long").write.format("noop").mode("overwrite").save()
+
+
 def workbook(sheets: dict[str, list[list]]) -> bytes:
     """A workbook of a few small sheets."""
     out = io.BytesIO()
