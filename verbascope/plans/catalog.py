@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from verbascope.functions import spans, text, vectors
 from verbascope.functions.levels import BANDS, LEVELS
 from verbascope.operators import encoders, indices, ordering, stats, wsd
+from verbascope.plans import shared
 from verbascope.plans.views import view, with_views
+from verbascope.sources import files, workbooks
 
 FLAGSHIP = "ph_indices_answer"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,13 +248,16 @@ word_rows AS (
   FROM levelled GROUP BY 1 HAVING count(*) >= 5)"""
 
 
-def _word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).distinct().where(F.ascii("word") % 9 != 0)
     level = F.element_at(F.array(*[F.lit(x) for x in ("", *LEVELS, "X9")]), F.ascii("word") % 8 + 1)
-    dictionary = documents.select("word", level.alias("min_level"))
+    return documents.select("word", level.alias("min_level"))
+
+
+def _word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = view(spark, sf_dir, "essays").select("essay_id", F.explode(text.words(F.col("text"))).alias("word"))
     lemma = F.when(F.length("word") > 4, F.expr("substr(word, 1, length(word) - 1)")).otherwise(F.col("word"))
-    return indices.word_indices(indices.dictionary_levels(tokens.withColumn("lemma", lemma), dictionary))
+    return indices.word_indices(indices.dictionary_levels(tokens.withColumn("lemma", lemma), _dictionary(spark, sf_dir)))
 
 
 @query(f"WITH {DICTIONARY.strip()}, {WORDS.strip()} SELECT * FROM word_rows", "essays")
@@ -343,6 +348,54 @@ def hier_f_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.hierarchical(_both(spark, sf_dir).join(genres, "essay_id"))
 
 
+# ---- sources and sinks: tables written to the shared folder in each format and read back
+
+
+def _cells(names: dict[str, str], table: str) -> str:
+    return f"SELECT {', '.join(f'CAST({n} AS STRING) AS {n}' for n in names)} FROM {table}"
+
+
+@query(ANSWERS + " SELECT * FROM indices", "inventory", "hits")
+def source_index_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase indices as CSV with headers and ``nan``, read by id."""
+    path = shared.folder(spark, "index-csv")
+    files.write_indices(ph_indices_answer(spark, sf_dir), path)
+    return files.read_indices(spark, path)
+
+
+@query(f"WITH {DICTIONARY.strip()} SELECT word, min_level FROM dictionary")
+def source_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.folder(spark, "dictionary")
+    _dictionary(spark, sf_dir).write.parquet(path)
+    return files.read_dictionary(spark, path)
+
+
+@query("SELECT essay_id, string_split(text, chr(10)) AS paragraphs, total_score FROM essays", "essays")
+def source_essays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Essays as XML, a paragraph a line."""
+    path = shared.folder(spark, "essays")
+    _essays(spark, sf_dir).withColumnRenamed("paragraphs", "paragraph").write.format("xml").options(rowTag="essay", rootTag="essays").save(path)
+    essays, _ = files.read_essays(spark, path, pattern="part-*")
+    return essays
+
+
+@query(_cells(workbooks.INVENTORY, "inventory"), "inventory")
+def source_inventory_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sense inventory as workbooks of ten thousand rows, read by header."""
+    path = shared.folder(spark, "inventory")
+    workbooks.write_workbooks(view(spark, sf_dir, "inventory"), path, workbooks.INVENTORY, "row_no")
+    return workbooks.read_inventory(spark, path).drop("row_no")
+
+
+@query(f"SELECT * REPLACE (CAST(total_score AS DOUBLE) AS total_score) FROM ({_cells(workbooks.HITS, 'hits')})", "hits")
+def source_hits_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase hits as workbooks; an essay's number gives the book."""
+    path = shared.folder(spark, "hits")
+    number = F.regexp_extract("essay_id", "[0-9]+$", 0).cast("long")
+    workbooks.write_workbooks(view(spark, sf_dir, "hits").withColumn("number", number), path, workbooks.HITS, "number")
+    return workbooks.read_hits(spark, path).drop("row_no")
+
+
 # ---- senses
 
 FIRST = "firsts AS (SELECT * FROM inventory QUALIFY row_number() OVER (PARTITION BY term, sense_no ORDER BY row_no) = 1)"

@@ -30,14 +30,14 @@ def read_dictionary(spark: SparkSession, path: str, kind: str = "parquet") -> Da
     return spark.read.format(kind).load(path).select(F.col("word").cast("string").alias("word"), F.col("min_level").cast("string").alias("min_level"))
 
 
-def read_essays(spark: SparkSession, path: str, row_tag: str = "essay") -> tuple[DataFrame, DataFrame]:
-    """Essays (essay_id, paragraphs, total_score) of all XML files below ``path``, and the rows that couldn't be parsed.
+def read_essays(spark: SparkSession, path: str, row_tag: str = "essay", pattern: str = "*.xml") -> tuple[DataFrame, DataFrame]:
+    """Essays (essay_id, paragraphs, total_score) of all XML files below ``path`` named like ``pattern``, and the rows that couldn't be parsed.
 
     An essay is ``<essay><essay_id/><paragraph/>...<total_score/></essay>``. Of
     essays with the same id, the last by file name and place holds.
     """
     schema = "essay_id string, paragraph array<string>, total_score double, _broken string"
-    raw = spark.read.format("xml").options(rowTag=row_tag, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", recursiveFileLookup="true", pathGlobFilter="*.xml").schema(schema).load(path)
+    raw = spark.read.format("xml").options(rowTag=row_tag, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", recursiveFileLookup="true", pathGlobFilter=pattern).schema(schema).load(path)
     raw = raw.withColumns({"_file": F.input_file_name(), "_place": F.monotonically_increasing_id()})
     # a row is broken only if all its columns are parsed
     broken = raw.where("_broken IS NOT NULL AND length(concat_ws('', essay_id, paragraph, CAST(total_score AS STRING))) >= 0").select("_file", "_broken")
