@@ -45,27 +45,32 @@ def tfidf_similarities(texts: DataFrame, targets: DataFrame) -> DataFrame:
     ``texts`` (term, sense_no, text) and ``targets`` (term, gold_no, target).
     Each target is weighed in a corpus of its own, its phrase's senses and
     itself: a term's document frequency there is that among the senses, counted
-    once for each phrase, and one more if the target has it.
+    once for each phrase, and one more if the target has it. So a sense's
+    length is summed once a phrase, and corrected for each target by the words
+    that both have; targets meet only those words' senses.
     """
     sizes = texts.groupBy("term").agg(F.count("*").alias("n_senses"))
     held = texts.select("term", "sense_no", F.explode(terms(F.col("text"))).alias("w")).groupBy("term", "sense_no", "w").agg(F.count("*").alias("tf"))
-    among = held.groupBy("term", "w").agg(F.count("*").alias("df"))
+    among = held.groupBy("term", "w").agg(F.count("*").alias("df"), F.collect_list(F.struct("sense_no", "tf")).alias("having"))
     said = targets.select("term", "gold_no", F.explode(terms(F.col("target"))).alias("w")).groupBy("term", "gold_no", "w").agg(F.count("*").alias("ttf"))
 
-    def idf(n: Column, df: Column) -> Column:
-        return F.log((n + 2) / (df + 1)) + 1
-
-    sides = targets.select("term", "gold_no").join(sizes, "term").join(held, "term").join(among, ["term", "w"]).join(said, ["term", "gold_no", "w"], "left")
-    weight = idf(F.col("n_senses"), F.col("df") + F.when(F.col("ttf").isNotNull(), 1).otherwise(0))
-    meets = sides.withColumn("i2", weight * weight).groupBy("term", "gold_no", "sense_no").agg(
-        F.sum(F.col("tf") * F.coalesce("ttf", F.lit(0)) * F.col("i2")).alias("dot"), F.sum(F.col("tf") * F.col("tf") * F.col("i2")).alias("ss")
+    def squared(df: Column) -> Column:
+        """The square of the inverse document frequency, smoothed."""
+        i = F.log((F.col("n_senses") + 2) / (df + 1)) + 1
+        return i * i
+
+    df = F.coalesce("df", F.lit(0))
+    weighed = among.join(sizes, "term").withColumns({"without": squared(df), "with": squared(df + 1)})
+    lengths = weighed.select("term", "without", F.inline("having")).groupBy("term", "sense_no").agg(F.sum(F.col("tf") * F.col("tf") * F.col("without")).alias("ss"))
+    own = said.join(weighed.drop("n_senses"), ["term", "w"], "left").join(sizes, "term").withColumn("with", F.coalesce("with", squared(F.lit(0) + 1)))
+    length = own.groupBy("term", "gold_no").agg(F.sum(F.col("ttf") * F.col("ttf") * F.col("with")).alias("tt"))
+    meets = own.select("term", "gold_no", "ttf", "with", "without", F.inline("having")).groupBy("term", "gold_no", "sense_no").agg(
+        F.sum(F.col("tf") * F.col("ttf") * F.col("with")).alias("dot"), F.sum(F.col("tf") * F.col("tf") * (F.col("with") - F.col("without"))).alias("more")
     )
-    own = said.join(sizes, "term").join(among, ["term", "w"], "left").withColumn("i", idf(F.col("n_senses"), F.coalesce("df", F.lit(0)) + 1))
-    length = own.groupBy("term", "gold_no").agg(F.sum(F.col("ttf") * F.col("ttf") * F.col("i") * F.col("i")).alias("tt"))
     # texts without terms meet nothing and have similarity 0
-    every = targets.select("term", "gold_no").join(texts.select("term", "sense_no"), "term")
+    every = targets.select("term", "gold_no").join(texts.select("term", "sense_no").join(lengths, ["term", "sense_no"], "left"), "term")
     joined = every.join(meets, ["term", "gold_no", "sense_no"], "left").join(length, ["term", "gold_no"], "left")
-    return joined.select("term", "gold_no", "sense_no", F.coalesce(F.col("dot") / F.sqrt(F.col("ss") * F.col("tt")), F.lit(0.0)).alias("sim"))
+    return joined.select("term", "gold_no", "sense_no", F.coalesce(F.col("dot") / F.sqrt((F.col("ss") + F.col("more")) * F.col("tt")), F.lit(0.0)).alias("sim"))
 
 
 def vector_similarities(anchors: DataFrame, targets: DataFrame) -> DataFrame:
