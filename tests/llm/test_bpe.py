@@ -89,3 +89,18 @@ def test_query(spark, small, known):
         ids = known.encode_ordinary(text)
         assert (rows[doc_id]["n_tokens"], rows[doc_id]["decoded_sha256"]) == (len(ids), hashlib.sha256(text.encode()).hexdigest())
         assert rows[doc_id]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_a_worker_gives_up_what_another_operator_left():
+    from verbascope.llm import common
+
+    made = []
+    first = common.shared("one", lambda: made.append(1) or object())
+    assert common.shared("one", lambda: made.append(1) or object()) is first and made == [1]
+    common.shared("two", lambda: made.append(2) or object())
+    assert set(common._shared) == {"two"}
+    common.give_up("two")
+    assert set(common._shared) == {"two"}
+    common.give_up()
+    assert common._shared == {} and common.shared("one", lambda: made.append(3)) is None and made == [1, 2, 3]
+    common.give_up()

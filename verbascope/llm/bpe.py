@@ -8,7 +8,10 @@ live neighbour before it and removes the position after it: three point
 updates of logarithmic cost, so a run of n bytes costs O(n log n).
 
 Defined cases: a null text is the empty text; an empty text has no ids and
-decodes to no bytes; texts of any length are encoded whole. Rows may repeat.
+decodes to no bytes; texts of any length are encoded whole. Pairs of equal rank
+are merged from the left. Repeated rows are encoded as often as they occur; an
+empty table gives no rows. Results have columns of their own only, whatever
+other columns are named.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from verbascope.llm.common import over_batches
+from verbascope.llm.common import over_batches, shared
 
 #: The characters of Unicode's White_Space property, which is what \s means to the tokenizer's own regex engine.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
@@ -170,24 +173,17 @@ class Codec:
         return np.frombuffer(self.chunks[first] + b"".join(ids), "<u4")
 
 
-#: The codec of this process, by ranks and pattern.
-_codecs: dict[str, Codec] = {}
-
-
 def with_codec(df: DataFrame, schema: str, path: str, pattern: str, row: Callable[[Codec, pa.RecordBatch], dict]) -> DataFrame:
     """``row`` over the batches of ``df``, with a codec that a worker's tasks share. The ranks, a file of fixed size, are broadcast."""
     ranks = load_ranks(path)
     shipped = df.sparkSession.sparkContext.broadcast(ranks)
-    name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    name = "bpe-" + hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
     def make():
-        if name not in _codecs:
-            _codecs.clear()
-            _codecs[name] = Codec(shipped.value, pattern)
-        codec = _codecs[name]
+        codec = shared(name, lambda: Codec(shipped.value, pattern))
         return lambda batch: row(codec, batch)
 
-    return over_batches(df, schema, make)
+    return over_batches(df, schema, make, name)
 
 
 def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:

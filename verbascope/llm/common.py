@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -96,14 +98,39 @@ def folded(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))) % modulus
 
 
+#: What the tasks of this worker share, by its owner's name.
+_shared: dict[str, object] = {}
+
+
+def give_up(keep: str | None = None) -> None:
+    """Frees what other operators' tasks have left in this worker: workers are used again, and would hold it for as long as they live."""
+    gone = [k for k in _shared if k != keep]
+    for k in gone:
+        del _shared[k]
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def shared(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` made when a task of this worker first asked for ``name``; anything else that is shared is given up."""
+    give_up(name)
+    if name not in _shared:
+        _shared[name] = make()
+    return _shared[name]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch in this session, as operators hold a batch of whole texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def over_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
-    """``mapInArrow`` by whole batches.
+def over_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], shares: str | None = None) -> DataFrame:
+    """``mapInArrow`` by whole batches; ``shares`` is the name of what its tasks share.
 
     ``make`` runs once a task and returns what turns a record batch into a
     dict of columns in the order of ``schema``. A session whose Arrow batches
@@ -114,6 +141,7 @@ def over_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Rec
     target = _arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up(shares)
         step = make()
         for batch in batches:
             out = step(batch)

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verbascope.llm.common import Shelf, over_batches, salt, salts, split, stored, table
+from verbascope.llm.common import Shelf, give_up, over_batches, salt, salts, split, stored, table
 
 #: Words to a run, runs to an item, items to a sketch; least similarity of a link.
 K, ELL, ITEMS, SIMILARITY = 5, 3, 24, 0.8
@@ -374,6 +374,7 @@ def slot_counts(texts: DataFrame) -> np.ndarray:
     """
 
     def run(batches):
+        give_up()
         known, counts = WordHash(), np.zeros(SLOTS, np.int64)
         low, high = np.full(SLOTS, np.iinfo(np.int64).max), np.full(SLOTS, np.iinfo(np.int64).min)
         for batch in batches:

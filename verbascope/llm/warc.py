@@ -37,7 +37,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbascope.llm.common import fresh_dir, remove, salt, salts, split, stored, table
+from verbascope.llm.common import fresh_dir, give_up, remove, salt, salts, split, stored, table
 
 LEAST = 1000
 SPLIT_BYTES = 16 << 20
@@ -81,6 +81,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     """Writes page_id, url, html, refers_to as archives in ``folder``; path and length of each file, one a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.gz"
@@ -224,6 +225,7 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         rows: list[dict] = []
         held = 0
         for batch in batches:
