@@ -78,6 +78,22 @@ def test_regression_command(tmp_path, spark, capsys):
     assert len((tmp_path / "w.csv").read_text(encoding="utf-8-sig").splitlines()) == 79
 
 
+@pytest.mark.parametrize("encoder", ["tfidf", "bert", "bert_sentence", "bert_phrase"])
+def test_wsd_command(tmp_path, spark, capsys, encoder):
+    """The command over a workbook with text sense numbers, its console and the workbook that it writes; stand-ins for models."""
+    lines = [
+        list(workbooks.INVENTORY.values()), ["go on", 10, "continue an activity", "The show will go on; We go on", "They go on working", "B1"], ["go on", 2, "happen in a place", "What is going on", "Something must go on here", "B2"],
+        ["go on", "2a", "light up", "The lights went on", "Lamps go on at night", "C1"], ["go on", 2, "a repeat", "x", "y", "A1"], ["alone", 1, "one sense", "x", "alone", "A1"],
+    ]
+    (tmp_path / "s.xlsx").write_bytes(workbooks.workbook({"s": lines}))
+    args = cli.parser().parse_args(["wsd", "--encoder", encoder, "--data", str(tmp_path / "s.xlsx"), "--out", str(tmp_path / "o.xlsx")])
+    details = cli.evaluate(spark, args, encoders.HashingEncoder, encoders.HashingEncoder, encoders.PlainAnalyzer)
+    shown = capsys.readouterr().out
+    assert details.count() == 3 and "总体 Accuracy" in shown and ("[匹配方式]" in shown) == (encoder == "bert_phrase")
+    sheet = list(workbooks.rows((tmp_path / "o.xlsx").read_bytes()))
+    assert [r["金标序号"] for r in sheet] == ["2", "10", "2a"] and all(r["预测序号"] in ("2", "10", "2a") for r in sheet)
+
+
 def test_reports(spark):
     table = stats.correlation_table(stats.correlations(indices.phrase_indices(indices.resolved(hits(spark), levels(spark)))))
     assert "n.s." in reports.correlation_console(table) and reports.number(None, ".3f") == "nan" and reports.number(0.1235, "+.3f") == f"{0.1235:+.3f}"

@@ -80,19 +80,23 @@ def similarities(
     return wsd.vector_similarities(wsd.anchors(made[0]), made[1]), matches, log
 
 
-def evaluate(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+def evaluate(
+    spark: SparkSession, args: argparse.Namespace, sentence: Callable[[], encoders.Encoder] | None = None, context: Callable[[], encoders.TokenVectors] | None = None, lemmas: Callable[[], encoders.Analyzer] | None = None
+) -> DataFrame:
+    """Evaluates a workbook; without factories the optional libraries' models are used."""
     senses = wsd.evaluable(wsd.sense_inventory(workbooks.read_inventory(spark, args.data)))
-    model = args.bert_model
+    model, spacy = args.bert_model, args.spacy_model
     analyzer, suffix = None, {"tfidf": f"tfidf_{args.strategy}", "bert": f"bert_minilm_{args.strategy}", "bert_sentence": f"bert_sentence_{args.strategy}", "bert_phrase": "bert_phrase"}[args.encoder]
     if args.encoder == "bert_phrase":
+        lemmas = lemmas or (lambda: models.LemmaModel(spacy))
         try:
-            models.LemmaModel(args.spacy_model)
+            lemmas()
         except Exception as why:  # noqa: BLE001  any failure of the optional library
             print(f"no lemmas, words are matched as they stand: {why}")
         else:
-            analyzer, suffix = (lambda: models.LemmaModel(args.spacy_model)), "bert_phrase_lemma"
+            analyzer, suffix = lemmas, "bert_phrase_lemma"
     name = {"tfidf": "TF-IDF", "bert": model or "all-MiniLM-L6-v2"}.get(args.encoder, model or "bert-base-uncased")
-    found, matches, log = similarities(senses, args.encoder, args.strategy, lambda: models.SentenceModel(model or "all-MiniLM-L6-v2"), lambda: models.ContextModel(model or "bert-base-uncased"), analyzer)
+    found, matches, log = similarities(senses, args.encoder, args.strategy, sentence or (lambda: models.SentenceModel(model or "all-MiniLM-L6-v2")), context or (lambda: models.ContextModel(model or "bert-base-uncased")), analyzer)
     details = wsd.detailed(wsd.predicted(found), senses, matches).cache()
     strategy = reports.PHRASE_MODE if args.encoder == "bert_phrase" else args.strategy
     print(reports.evaluation_console(details, name, strategy, log))
