@@ -32,11 +32,45 @@ def test_votes_against_brute_force():
     got = space.scores(queries)
     for q, s in zip(queries, got, strict=True):
         close = vectors @ q
-        best = np.argsort(-close)[: knn.NEIGHBOURS]
+        close = close.round(knn.PLACES)
+        best = np.flatnonzero(close >= np.sort(close)[-knn.NEIGHBOURS])
         weight = np.maximum(close[best], 0)
         assert abs(s - (weight @ labels[best]) / weight.sum()) < 1e-5
 
 
+def test_ties_vote_together():
+    """Of 100 equal vectors a quarter is labelled 1, wherever those stand."""
+    vectors = np.tile(np.array([[0.6, 0.8]], np.float32), (100, 1))
+    for labels in (np.arange(100) < 25, np.arange(100) >= 75, np.arange(100) % 4 == 0):
+        space = knn.Space(np.zeros((knn.COLUMNS, 2), np.float32), vectors, labels.astype(float), 0.5)
+        assert abs(space.scores(np.array([[1.0, 0.0]], np.float32))[0] - 0.25) < 1e-6
+
+
+def test_fit_is_bounded_by_ids(spark):
+    docs, labels = frames(spark)
+    many = docs.unionAll(docs).unionAll(docs).unionAll(docs.selectExpr("doc_id", "concat(text, ' more')", "source", "score", "label"))
+    space = knn.fit(many, labels.unionAll(labels.selectExpr("doc_id", "1 - quality", "toxic")), sample=20)
+    assert len(space.labels) <= 20 and space.labels.sum() == 0
+
+
+def test_fitted_vectors_against_numpy():
+    """The space spans what an exact decomposition finds, and vectors are weights times inverse document frequencies, projected."""
+    rng, terms = random.Random(5), knn.Terms()
+    rows = [terms.counts(" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(30))) for _ in range(40)]
+    space = knn.fitted(rows, [i % 2 for i in range(40)])
+    seen = np.zeros(knn.COLUMNS)
+    dense = np.zeros((40, knn.COLUMNS))
+    for i, (columns, weights) in enumerate(rows):
+        seen[columns] += 1
+        dense[i, columns] = weights
+    weighted = dense * (np.log(41 / (1 + seen)) + 1)
+    lengths = np.linalg.norm(weighted, axis=1, keepdims=True)
+    _, _, right = np.linalg.svd(weighted / lengths, full_matrices=False)
+    expected = weighted @ right[: space.vectors.shape[1]].T
+    expected /= np.linalg.norm(expected, axis=1, keepdims=True)
+    assert np.allclose(space.vectors @ space.vectors.T, expected @ expected.T, atol=1e-3)
+
+
 def test_space_of_few():
     terms = knn.Terms()
     for n in (1, 2, 3):

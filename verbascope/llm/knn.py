@@ -9,8 +9,13 @@ are broadcast; every document is compared with all of them by blocked exact
 cosine products, and its ``NEIGHBOURS`` nearest vote with their similarity.
 
 Defined cases: a text without terms, null or empty, has no neighbours and gets
-the sample's mean label; without any label all scores are 0.5. Equal
-similarities are taken in the sample's order, so equal texts score alike.
+the sample's mean label; without any label, or with an empty table, there is
+nothing to learn and all scores are 0.5. Rows of the sample that are as near as
+the last of the nearest, to ``PLACES`` places, vote as well, so the order of
+the sample doesn't matter and equal texts score alike. An id with several
+labels has the least, one with several texts that of the least digest. Texts of
+any length are read whole. ``score`` returns columns of its own only and
+``good`` those of its documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbascope.llm.common import folded, over_batches, table
+from verbascope.llm.common import folded, give_up, over_batches, small_batches, table
 
 #: Labelled documents that the space and the votes come from, at most.
 SAMPLE = 3000
 WORD_COLUMNS, SHAPE_COLUMNS, RANK, NEIGHBOURS = 4096, 1024, 48, 25
+#: Similarities that are equal to so many places tie.
+PLACES = 5
 #: Texts compared with the sample in one product.
 BLOCK = 256
 #: A worker forgets the columns of words beyond so many.
@@ -91,7 +98,7 @@ class Space:
             return out
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(vectors), BLOCK):
-            close = vectors[at : at + BLOCK] @ self.vectors.T
+            close = (vectors[at : at + BLOCK] @ self.vectors.T).round(PLACES)
             least = -np.partition(-close, k - 1, axis=1)[:, k - 1 : k]
             votes = np.where(close >= least, np.maximum(close, 0), 0)
             total = votes.sum(axis=1)
@@ -126,9 +133,11 @@ def fitted(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Spac
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
     """The space of at most ``sample`` labelled documents outside the held-out fold, the first by a hash of their id."""
     chosen = labels.where("quality IS NOT NULL").where(folded("doc_id", 3) != 1)
-    chosen = chosen.select(labels.doc_id.alias("labelled"), F.when(labels.quality > 0, 1).otherwise(0).alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled", "label").limit(sample)
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "label", "text")
+    chosen = chosen.groupBy(labels.doc_id.cast("long").alias("labelled")).agg(F.min(F.when(labels.quality > 0, 1).otherwise(0)).alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
+    known = docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    # one row for each id that was chosen, however often it occurs: no more than ``sample`` reach the driver
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text"))
 
     def make():
         terms = Terms()
@@ -139,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
 
         return step
 
-    got = over_batches(known.selectExpr("cast(doc_id as long) doc_id", "label", "text"), "doc_id long, label int, columns array<int>, weights array<float>", make)
+    got = over_batches(known, "doc_id long, label int, columns array<int>, weights array<float>", make)
     rows = sorted(((r["doc_id"], r["label"], r["columns"], r["weights"]) for r in got.toArrow().to_pylist()), key=lambda r: (r[0], r[1]))
     return fitted([(np.array(c, np.int32), np.array(w, np.float32)) for _, _, c, w in rows], [x[1] for x in rows])
 
@@ -175,8 +184,10 @@ def score(docs: DataFrame, space: Space) -> DataFrame:
 def good(docs: DataFrame, space: Space) -> DataFrame:
     """The rows of ``docs`` that score 0.5 or more, with all their columns."""
     shipped = docs.sparkSession.sparkContext.broadcast(space)
+    small_batches(docs.sparkSession)
 
     def run(batches):
+        give_up()
         scorer = Scorer(shipped.value)
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch["text"].to_pylist()) >= 0.5))
