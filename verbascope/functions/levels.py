@@ -28,5 +28,6 @@ def level_score(column: Column) -> Column:
     return score
 
 
-def count_levels(column: Column, levels: tuple[str, ...]) -> Column:
-    return F.count_if(column.isin(*levels))
+def count_levels(column: Column, levels: tuple[str, ...], times: Column | None = None) -> Column:
+    """An aggregate: how many rows have one of ``levels``, each counted ``times``."""
+    return F.count_if(column.isin(*levels)) if times is None else F.sum(F.when(column.isin(*levels), times).otherwise(0))

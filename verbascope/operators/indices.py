@@ -47,9 +47,9 @@ def unresolved(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count_if(F.col("multi") & F.col("level").isNull()).alias("n_poly_no_level"))
 
 
-def level_ratios(prefix: str, names: tuple[str, ...], total: Column) -> dict[str, Column]:
+def level_ratios(prefix: str, names: tuple[str, ...], total: Column, times: Column | None = None) -> dict[str, Column]:
     groups = {level: (level,) for level in LEVELS} | BANDS
-    return {f"{prefix}_ratio_{n}": count_levels(F.col("level"), groups[n]) / total for n in names}
+    return {f"{prefix}_ratio_{n}": count_levels(F.col("level"), groups[n], times) / total for n in names}
 
 
 #: The groups that have indices: a valid level, and a positive score.
@@ -97,13 +97,32 @@ def dictionary_levels(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     return joined.withColumn("level", level).drop("_has", "_lemma", "_word").where(is_level(F.col("level")))
 
 
+#: Parts into which a word that most essays have is split.
+SALTS = 63
+
+
+def counted_levels(tokens: DataFrame, dictionary: DataFrame, key: str = "essay_id") -> DataFrame:
+    """``key``, level, n: the words of ``tokens`` (key, lemma, word) with a valid level, each once an essay with how often it occurs.
+
+    Each pair of lemma and word is looked up once, and the essays that have it
+    meet its level by salts, as some words are in all of them.
+    """
+    salted = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+    words = tokens.groupBy(key, "lemma", "word").agg(F.count("*").alias("n")).withColumn("_salt", salted)
+    pairs = words.groupBy("lemma", "word").agg(F.expr("bit_or(shiftleft(1L, _salt))").alias("_salts"))
+    places = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("_salts", s) == 1))
+    levels = dictionary_levels(pairs, dictionary).select("lemma", "word", "level", places.alias("_salt"))
+    return words.join(levels, ["lemma", "word", "_salt"]).select(key, "level", "n")
+
+
 def word_indices(levelled: DataFrame, key: str = "essay_id") -> DataFrame:
-    """One row for each essay of at least ``LEAST_WORDS`` content words with a level."""
+    """One row for each essay of at least ``LEAST_WORDS`` content words with a level; rows with ``n`` count that often."""
+    times = F.col("n") if "n" in levelled.columns else F.lit(1).cast("long")
     rows = levelled.withColumn("_s", level_score(F.col("level")))
-    n = F.count("_s")
+    n = F.sum(F.when(F.col("_s").isNotNull(), times).otherwise(0))
     some = F.nullif(n, F.lit(0))
-    ratios = level_ratios("W", ("A1", "A", "B", "C", "AboveB1"), some)
-    measures = ratios | {"W_mean_score": F.sum("_s") / some, "W_n": n}
+    ratios = level_ratios("W", ("A1", "A", "B", "C", "AboveB1"), some, times)
+    measures = ratios | {"W_mean_score": F.sum(F.col("_s") * times) / some, "W_n": n}
     return rows.groupBy(key).agg(*[c.alias(k) for k, c in measures.items()]).where(F.col("W_n") >= LEAST_WORDS)
 
 

@@ -257,7 +257,7 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = view(spark, sf_dir, "essays").select("essay_id", F.explode(text.words(F.col("text"))).alias("word"))
     lemma = F.when(F.length("word") > 4, F.expr("substr(word, 1, length(word) - 1)")).otherwise(F.col("word"))
-    return indices.word_indices(indices.dictionary_levels(tokens.withColumn("lemma", lemma), _dictionary(spark, sf_dir)))
+    return indices.word_indices(indices.counted_levels(tokens.withColumn("lemma", lemma), _dictionary(spark, sf_dir)))
 
 
 @query(f"WITH {DICTIONARY.strip()}, {WORDS.strip()} SELECT * FROM word_rows", "essays")

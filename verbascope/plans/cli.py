@@ -106,7 +106,7 @@ def evaluate(
 
 def regression(spark: SparkSession, args: argparse.Namespace, analyzer: Callable[[], encoders.Analyzer] = models.TaggedWords) -> DataFrame:
     essays, broken = files.read_essays(spark, args.essays)
-    words = indices.dictionary_levels(encoders.content_words(essays, analyzer), files.read_dictionary(spark, args.dictionary))
+    words = indices.counted_levels(encoders.content_words(essays, analyzer), files.read_dictionary(spark, args.dictionary))
     rows = indices.scored(indices.word_indices(words), essays)
     both = indices.joined_indices(rows, files.read_indices(spark, args.phrase_indices))
     kinds = both.join(essays.select("essay_id", genre(F.col("paragraphs")).alias("genre")), "essay_id")
