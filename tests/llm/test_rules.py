@@ -72,3 +72,24 @@ def test_clean_documents_stay_and_junk_goes(spark):
     good = [r["kept"] for r in rows if r["quality"] == 1]
     bad = [r["kept"] for r in rows if r["quality"] == 0]
     assert sum(good) / len(good) > 0.98 and sum(bad) / max(1, len(bad)) < 0.2
+
+
+def test_ties_between_common_words(spark):
+    """Of thirty words of one frequency the first by code point are common ones; rows of one text are judged alike."""
+    from verbascope.llm.common import Shelf
+
+    words = [f"w{i:02}" for i in range(30)]
+    text = " ".join(words[::-1] * 10)
+    docs = spark.createDataFrame([(i, text, "en", 0) for i in range(10)] + [(99, text, None, 0)], "doc_id long, text string, lang string, common int")
+    with Shelf(spark, "t") as shelf:
+        rows = {r["of"]: r for r in rules.common_words(docs, shelf).collect()}
+    assert [x["word"] for x in rows["en"]["common"]] == words[: rules.COMMON_WORDS] == [x["word"] for x in rows[None]["common"]]
+    assert rows["en"]["reference_total"] == 3000 and rows[None]["reference_total"] == 300
+    judged = rules.judged(docs).collect()
+    assert len({tuple(r)[1:] for r in judged if r["doc_id"] != 99}) == 1
+
+
+def test_a_language_without_words(spark):
+    docs = spark.createDataFrame([(1, "", "xx"), (2, None, "xx"), (3, PLAIN, "en")], "doc_id long, text string, lang string")
+    rows = {r["doc_id"]: r for r in rules.judged(docs).collect()}
+    assert len(rows) == 3 and not rows[1]["kept"] and not rows[2]["kept"] and rows[1]["char_distance"] is None

@@ -11,11 +11,15 @@ Guards: documents of fewer than ``LEAST_WORDS`` words fail the base rules and
 aren't compared; a language of fewer than ``LEAST_REFERENCE`` words is no
 reference, and its documents are kept if they pass the base rules.
 
-Repeated three-word windows are found by a 64-bit hash of the three words.
+Words are told apart by 64-bit hashes where they are counted in a document,
+and three-word windows by a hash of those.
 
 Defined cases: a null text has no words and fails; a null language is a
-language of its own; repeated rows are judged alike. Long texts are judged
-whole. An empty table gives no rows.
+language of its own; repeated rows are judged alike. Very long texts are judged
+whole. Of a language's words that are equally frequent the first by code point
+rank higher; equal distances to the limit are kept. An empty table gives no
+rows. Columns other than doc_id, text and lang aren't read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verbascope.llm.common import BLANK, WORD, stored, table
+from verbascope.llm.common import BLANK, WORD, Shelf, stored, table
 from verbascope.llm.mixing import word_count
 
 LEAST_WORDS, COMMON_WORDS, COMMON_SHARE, LEAST_REFERENCE = 50, 24, 500, 2000
@@ -58,11 +62,13 @@ def distance(p: Column, q: Column, p_sum: Column, q_sum: Column) -> Column:
     return F.when((p_sum > 0) & (q_sum > 0), F.round(F.sqrt(F.greatest(divergence, F.lit(0.0))), 6))
 
 
-def common_words(docs: DataFrame) -> DataFrame:
+def common_words(docs: DataFrame, shelf: Shelf) -> DataFrame:
     """of, reference_total, common: each language's words in all and its common words with their counts, one small row a language."""
     rows = docs.select(docs.lang.cast("string").alias("lang"), F.coalesce(docs.text, F.lit("")).alias("text"))
-    sums = stored(rows.groupBy("lang").agg(F.sum(word_count(F.col("text"))).alias("reference_total")).withColumnRenamed("lang", "of"), "rules-sums")
     said = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # the texts are read once for both the sums and the words
+    said = shelf.put(said, "words")
+    sums = shelf.put(said.groupBy("lang").agg(F.sum("n").alias("reference_total")).withColumnRenamed("lang", "of"), "sums")
     # at most COMMON_SHARE words of a language pass, so that ranking them is a small step
     often = said.join(small(sums), F.col("lang").eqNullSafe(F.col("of"))).where(F.col("n") * COMMON_SHARE >= F.col("reference_total"))
     rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("n"), "word"))
@@ -92,8 +98,9 @@ def measured(docs: DataFrame, words: DataFrame) -> DataFrame:
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
     })
     place = F.sequence(F.lit(0), F.size("words") - 3)
-    hashed = F.transform(place, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
-    rows = rows.withColumn("hashes", F.when(F.size("words") >= 3, hashed))
+    rows = rows.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+    windows = F.transform(place, lambda i: F.xxhash64(F.get("hashed", i), F.get("hashed", i + 1), F.get("hashed", i + 2)))
+    rows = rows.withColumn("hashes", F.when(F.size("words") >= 3, windows))
     # texts without a repeat, told by a hash set, need no sort
     repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
     rows = rows.withColumn("windows", F.when(repeats, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))))
@@ -106,7 +113,7 @@ def measured(docs: DataFrame, words: DataFrame) -> DataFrame:
     blanks = F.col("n_chars") - F.col("word_chars")
     rows = rows.withColumns({"base_failed": failed, "characters": F.concat("classes", F.array(blanks, F.col("word_chars") - total(F.col("classes"))))})
     rows = rows.join(small(words), F.col("lang").eqNullSafe(F.col("of")), "left")
-    own = F.transform("common", lambda x: (F.size("words") - F.size(F.array_remove("words", x["word"]))).cast("long"))
+    own = F.transform("common", lambda x: (F.size("hashed") - F.size(F.array_remove("hashed", F.xxhash64(x["word"])))).cast("long"))
     rows = rows.withColumn("own", F.when(~F.col("base_failed"), own))
     return fenced(rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "characters", "own"))
 
@@ -117,7 +124,8 @@ def judged(docs: DataFrame) -> DataFrame:
     The texts are read twice: for the languages' common words, and for the
     measures, whose small table then gives the languages' character classes.
     """
-    words = stored(common_words(docs), "rules-words")
+    with Shelf(docs.sparkSession, "rules") as shelf:
+        words = stored(common_words(docs, shelf), "rules-words")
     rows = stored(measured(docs, words), "rules-measures")
     places = range(len(CLASSES) + 2)
     sums = rows.groupBy("lang").agg(F.array(*[F.sum(F.col("characters")[i]) for i in places]).alias("reference_characters")).withColumnRenamed("lang", "reference")
