@@ -7,20 +7,33 @@ is committed under the batch's name. A batch that is committed already is left
 alone, so it can be sent again after any failure. Totals are the sum of all
 committed deltas; groups that come to nothing are gone.
 
-A batch is written beside its place first and moved there as a whole, so a
-batch is there fully or not at all.
+The sums of a batch are written under a name that nobody else has, and then a
+marker that names them takes its place in one step that the file system grants
+to one writer only: a hard link in a local folder, elsewhere the move of a file
+to a name that must be free, which HDFS does at once. (An object store that
+doesn't refuse an existing name needs a single writer.) A batch is there fully
+once its marker is, and not at all before; what a failed or later writer has
+written is never read. ``compact`` sums what is committed into one table, so
+that totals don't read every batch that ever was.
 
 Defined cases: a null source or language is a group of its own; a null text
-counts as an inserted document without tokens; deleting what was never
-inserted leaves negative totals, which are shown. Repeated rows count as often
-as they occur. An empty batch commits nothing but its name.
+counts as an inserted document without tokens; texts of any length are counted
+whole; deleting what was never inserted leaves negative totals, which are
+shown. Repeated rows count as often as they occur. Columns other than those of
+a count are ignored, whatever their names. An empty batch commits nothing but
+its name; an empty table has no counts, and no batches have no totals.
+
+File systems are reached through the driver's JVM, so this needs a classic
+session.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,43 +90,112 @@ def revised(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Committed deltas in a folder of any file system that Spark writes to."""
+    """Committed deltas in a folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.spark, self.folder, self.jvm = spark, folder, spark._jvm
+        self.path = self.jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def place(self, batch: str) -> str:
+    def marker(self, batch: str) -> str:
         return f"{self.folder}/batch-{base64.urlsafe_b64encode(batch.encode()).decode().rstrip('=')}"
 
+    def read(self, path: str) -> list[str]:
+        """The lines of a marker; none if it isn't there."""
+        if not self.fs.exists(self.path(path)):
+            return []
+        file = self.fs.open(self.path(path))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8").split()
+        finally:
+            file.close()
+
+    def claim(self, path: str, lines: list[str]) -> bool:
+        """Puts a marker of ``lines`` in its place, unless one is there; whether it did."""
+        own = self.path(f"{self.folder}/claim-{uuid.uuid4().hex}")
+        file = self.fs.create(own, False)
+        file.write("\n".join(lines).encode())
+        file.close()
+        try:
+            return self.linked(own, self.path(path)) if self.fs.getScheme() == "file" else self.fs.rename(own, self.path(path))
+        finally:
+            self.fs.delete(own, False)
+
+    def linked(self, own, place) -> bool:
+        """A second name for a local file; a plain move would replace what is there."""
+        own, place = (self.jvm.java.io.File(x.toUri().getPath()).toPath() for x in (own, place))
+        try:
+            self.jvm.java.nio.file.Files.createLink(place, own)
+        except Py4JJavaError:
+            if self.jvm.java.nio.file.Files.isReadable(place):
+                return False
+            raise
+        return True
+
     def committed(self, batch: str) -> bool:
-        return self.fs.exists(self.path(self.place(batch)))
+        return bool(self.read(self.marker(batch)))
+
+    def put(self, sums: DataFrame) -> str:
+        """Writes sums under a name of their own."""
+        name = f"sums-{uuid.uuid4().hex}"
+        sums.where(" OR ".join(f"{m} != 0" for m in MEASURES)).write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def drop(self, name: str) -> None:
+        self.fs.delete(self.path(f"{self.folder}/{name}"), True)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Sums and commits ``changes`` (the columns of a count, and sign) unless ``batch`` is there; whether it did."""
         if self.committed(batch):
             return False
-        sums = changes.groupBy(*GROUP).agg(
+        name = self.put(changes.groupBy(*GROUP).agg(
             F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"), F.sum(F.col("sign") * F.col("chars")).alias("chars")
-        )
-        aside = f"{fresh_dir(self.spark, 'rollup')}"
-        sums.where(" OR ".join(f"{m} != 0" for m in MEASURES)).write.parquet(aside)
-        self.fs.mkdirs(self.path(self.folder))
-        # of two that commit the same batch at once, the second finds the place taken
-        if self.committed(batch) or not self.fs.rename(self.path(aside), self.path(self.place(batch))):
-            self.fs.delete(self.path(aside), True)
-            return False
-        return True
+        ))
+        if self.claim(self.marker(batch), [name]):
+            return True
+        self.drop(name)
+        return False
+
+    def listed(self, prefix: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs.globStatus(self.path(f"{self.folder}/{prefix}-*")) or [])
+
+    def compacted(self) -> tuple[int, list[str], list[str]]:
+        """Number, sums (one or none) and batch markers of the latest compaction."""
+        for name in reversed(self.listed("compaction")):
+            if lines := self.read(f"{self.folder}/{name}"):
+                return int(name.split("-")[1]), lines[:1], lines[1:]
+        return 0, [], []
+
+    def deltas(self) -> tuple[DataFrame, int, list[str]]:
+        """All committed sums, the number of the compaction among them, and the markers of all batches in them."""
+        number, sums, within = self.compacted()
+        markers = self.listed("batch")
+        later = {x: lines[0] for x in markers if x not in set(within) and (lines := self.read(f"{self.folder}/{x}"))}
+        paths = [f"{self.folder}/{x}" for x in [*sums, *later.values()]]
+        found = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+        return found, number, [*within, *later]
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens, chars over all committed batches."""
-        found = self.fs.globStatus(self.path(f"{self.folder}/batch-*")) or []
-        paths = [x.getPath().toString() for x in found]
-        deltas = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-        sums = deltas.groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES])
+        sums = self.deltas()[0].groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES])
         return sums.where(" OR ".join(f"{m} != 0" for m in MEASURES))
 
+    def compact(self) -> bool:
+        """Sums what is committed into one table, which stands for its batches; whether it did.
+
+        Batches committed meanwhile are read beside it. What the compaction
+        before it replaced is deleted, so totals asked for since then hold.
+        """
+        found, number, within = self.deltas()
+        replaced = [line for x in self.compacted()[2] for line in self.read(f"{self.folder}/{x}")] + self.read(f"{self.folder}/compaction-{number - 1:012d}")[:1]
+        name = self.put(found.groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES]))
+        if not self.claim(f"{self.folder}/compaction-{number + 1:012d}", [name, *within]):
+            self.drop(name)
+            return False
+        for old in replaced:
+            self.drop(old)
+        return True
+
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all documents: inserted with estimates, revised by exact counts, the revision sent twice."""
