@@ -86,7 +86,7 @@ def test_frames(spark):
         got = b"".join(bytes(p["samples"]) for p in pages if p["doc_id"] == (None if i == 2 else i))
         assert got == tiff.payload_of(t) and len(got) % 64 == 0 and got
     assert len([p for p in pages if p["doc_id"] == 5]) == -(-200000 // 64 // tiff.PAGE_ROWS)
-    assert tiff.image_pages(spark.createDataFrame([(1, None)], "doc_id long, media binary")).collect() == [] and tiff.media(docs.limit(0)).collect() == []
+    assert tiff.image_pages(spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")).collect() == [] and tiff.media(docs.limit(0)).collect() == []
 
 
 def test_query(spark, small):
@@ -100,3 +100,25 @@ def test_query(spark, small):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
     assert {tiff.layout_of(tiff.payload_of(str(i))).compression for i in range(200)} == {tiff.RAW, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS}
+
+
+def test_a_published_lzw_stream():
+    """The example of the format's specification: 7 7 7 8 8 7 7 6 6 as codes of nine bits."""
+    bits = "".join(f"{code:09b}" for code in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    stream = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+    data = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.unlzw(stream, 9) == data and tiff.lzw(data) == stream
+
+
+def test_pages_are_told_apart_by_file(spark):
+    """Rows of one id, files of several pages and batches that end within a file."""
+    long = ["x" * (64 * tiff.PAGE_ROWS * 3 + i) for i in range(40)]
+    docs = spark.createDataFrame([(1, t) for t in [*long, "", "a"]], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = tiff.features(tiff.image_pages(tiff.media(docs))).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    assert [r["n_bytes"] for r in got] == [len(t) for t in [*long, "", "a"]]
+    assert [r["payload_sha256"] for r in got] == [hashlib.sha256(tiff.payload_of(t)).hexdigest() for t in [*long, "", "a"]]
+    assert got[1]["feature"].startswith("pages=4 rows=6145 ")

@@ -7,8 +7,15 @@ writer stores a payload, padded to rows of 64 samples, as pages of at most
 ``PAGE_ROWS`` rows; the layout of a payload (compression, predictor, strips or
 tiles) follows from its checksum, so that equal payloads are stored alike.
 
+LZW is written and read byte by byte in Python, at thirty times the cost of the
+other compressions; so the writer deals it to one payload in sixteen, which is
+enough to meet it in every table, and deflate to most.
+
 Defined cases: a null text is the empty text; an empty text is one row of
-zeros. Broken files raise ValueError: a directory chain that loops, tags that
+zeros; a very long text has as many pages as it needs. Null media have no
+pages. Equal texts have equal files, repeated rows included; an empty table
+gives no rows. Columns other than those named are dropped, whatever their
+names. Broken files raise ValueError: a directory chain that loops, tags that
 point outside, streams that end early or hold too little.
 """
 
@@ -321,41 +328,63 @@ def media(docs: DataFrame) -> DataFrame:
     return over_batches(docs.select(docs.doc_id.cast("long").alias("doc_id"), "text"), "doc_id long, n_bytes long, media binary", make)
 
 
+PAGES = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, pages int, page int, width int, height int, samples binary"
+
+
 def image_pages(stored: DataFrame) -> DataFrame:
-    """doc_id, page, width, height, samples: one row for each page of each row's media; null media have none."""
+    """``PAGES``: one row for each page of each row's media (doc_id, n_bytes, media), a file's pages together and in order."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            out: dict = {"doc_id": [], "page": [], "width": [], "height": [], "samples": []}
-            for doc_id, data in zip(batch["doc_id"].to_pylist(), batch["media"].to_pylist(), strict=True):
-                for page in pages(data) if data is not None else ():
-                    for k, v in zip(out, (doc_id, page.number, page.width, page.height, page.samples.tobytes()), strict=True):
+            out: dict = {x.split()[0]: [] for x in PAGES.split(", ")}
+            for doc_id, n, data in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
+                found = list(pages(data)) if data is not None else []
+                for page in found:
+                    row = (doc_id, n, len(data), hashlib.sha256(data).hexdigest(), len(found), page.number, page.width, page.height, page.samples.tobytes())
+                    for k, v in zip(out, row, strict=True):
                         out[k].append(v)
             return out
 
         return step
 
-    return over_batches(stored.select("doc_id", "media"), "doc_id long, page int, width int, height int, samples binary", make)
+    return over_batches(stored.select("doc_id", "n_bytes", "media"), PAGES, make)
 
 
-def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what is read back from each text's media, all of a file's pages in order."""
+def features(found: DataFrame) -> DataFrame:
+    """What ``image_pages`` read of each file: its payload's length and digests, those of the file, and what the samples are like.
+
+    A file's pages follow each other in a task, so no shuffle brings them together.
+    """
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def make():
+        held: list[bytes] = []
+        rows = 0
+
         def step(batch: pa.RecordBatch) -> dict:
-            out: dict = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for doc_id, n, data in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), batch["media"].to_pylist(), strict=True):
-                read = list(pages(data))
-                payload = b"".join(p.samples.tobytes() for p in read)
+            nonlocal rows
+            out: dict = {x.split()[0]: [] for x in schema.split(", ")}
+            for row in batch.to_pylist():
+                held.append(row["samples"])
+                rows += row["height"]
+                if row["page"] < row["pages"] - 1:
+                    continue
+                payload = b"".join(held)
                 counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-                held = np.flatnonzero(counts)
-                feature = f"pages={len(read)} rows={sum(p.height for p in read)} least={held[0]} most={held[-1]} kinds={len(held)} sum={int(counts @ np.arange(256))}"
-                row = (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature)
-                for k, v in zip(out, row, strict=True):
+                kinds = np.flatnonzero(counts)
+                feature = f"pages={len(held)} rows={rows} least={kinds[0]} most={kinds[-1]} kinds={len(kinds)} sum={int(counts @ np.arange(256))}"
+                made = (row["doc_id"], row["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), row["media_bytes"], row["media_sha256"], feature)
+                for k, v in zip(out, made, strict=True):
                     out[k].append(v)
+                held.clear()
+                rows = 0
             return out
 
         return step
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return over_batches(media(table(spark, sf_dir, "documents")), schema, make)
+    return over_batches(found, schema, make)
+
+
+def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back, a row a page, from each text's media."""
+    return features(image_pages(media(table(spark, sf_dir, "documents"))))
