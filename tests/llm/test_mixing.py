@@ -63,3 +63,23 @@ def test_edges(spark):
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.mix(docs.where("text IS NULL")).collect() == []
     repeats = [r for r in out.collect() if r["doc_id"] == 1]
     assert len(repeats) % 2 == 0
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    long = "word " * 300_000
+    rows = [(1, long, "a"), (2, "one two", "a"), (2, "one two", "a"), (3, None, None), (None, "x", "b")]
+    docs = spark.createDataFrame([(*r, 1, 2.0, 3, "k", True) for r in rows], "doc_id long, text string, source string, size int, target double, copies int, _key string, _null boolean")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    often = [r["doc_id"] for r in out.collect()]
+    assert often.count(2) % 2 == 0 and all(often.count(r[0]) <= 6 for r in rows)
+    sized = docs.select("doc_id", "source", mixing.word_count(docs.text).alias("size"))
+    assert {r["doc_id"]: r["size"] for r in sized.collect()} == {1: 300_000, 2: 2, 3: 0, None: 1}
+    assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_sources_that_stop_at_the_same_level(spark):
+    """Equal quotients of size and weight: ranks decide the order, and targets are what loops give."""
+    sizes = {"a": 50, "b": 20, "c": 10, "d": 50, "e": 20, "f": 10_000}
+    rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+    assert {r["source"]: r["target"] for r in rows} == pytest.approx(filled(sizes))

@@ -11,10 +11,16 @@ what is over goes to the others by weight, until none is above. That fixed
 point is min(most * tokens, level * weight) for one level, found with running
 sums over the sources in the order in which they stop.
 
-Defined cases: a null text has size 0; a source without words has target 0
+The targets are made from one row a source, ranked in one task: a few hundred
+bytes each, so that a hundred thousand sources fit easily; their documents
+aren't among them.
+
+Defined cases: a null text has size 0; texts of any length are counted whole;
+of sources that stop at the same level the first by rank counts first; a source without words has target 0
 and its documents are emitted as often as the next whole number of its rate,
 0; a null source is a source of its own; a null doc_id hashes as the empty
-text; repeated rows share their draw. An empty table gives no rows.
+text; repeated rows share their draw. An empty table gives no rows. Other columns are
+neither read nor in the way, whatever their names.
 """
 
 from __future__ import annotations
