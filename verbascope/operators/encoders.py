@@ -112,17 +112,22 @@ def sentence_vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("vec", pooled(F.transform("tokens", lambda t: t["vec"])))
 
 
+def _fenced(rows: DataFrame) -> DataFrame:
+    """``rows`` behind a generator of one row each, so that a search isn't computed anew wherever what follows refers to it."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def phrase_vectors(rows: DataFrame, text: str = "text", phrase: str = "term", lemmas: str | None = None) -> DataFrame:
     """``rows`` (tokens) with the phrase's span and tokens and vec: their mean, or that of all but the first and last token.
 
     ``span_by`` tells how the phrase was found: by ``lemma``, if that covers a token, else by ``exact`` characters.
     """
-    rows = rows.withColumn("span", exact_span(F.col(text), keywords(F.col(phrase)))).withColumn("span_by", F.lit("exact"))
+    rows = _fenced(rows.withColumn("span", exact_span(F.col(text), keywords(F.col(phrase)))).withColumn("span_by", F.lit("exact")))
     if lemmas is not None:
-        rows = rows.withColumn("_lemma", lemma_span(F.col(lemmas), keywords(F.col(phrase))))
-        found = F.size(covered_tokens(F.col("tokens"), F.col("_lemma"))) > 0
-        rows = rows.withColumns({"span": F.when(found, F.col("_lemma")).otherwise(F.col("span")), "span_by": F.when(found, "lemma").otherwise("exact")}).drop("_lemma")
-    rows = rows.withColumn("at", covered_tokens(F.col("tokens"), F.col("span")))
+        rows = _fenced(rows.withColumn("_lemma", lemma_span(F.col(lemmas), keywords(F.col(phrase)))))
+        rows = _fenced(rows.withColumn("_found", F.size(covered_tokens(F.col("tokens"), F.col("_lemma"))) > 0))
+        rows = rows.withColumns({"span": F.when(F.col("_found"), F.col("_lemma")).otherwise(F.col("span")), "span_by": F.when(F.col("_found"), "lemma").otherwise("exact")}).drop("_lemma", "_found")
+    rows = _fenced(rows.withColumn("at", covered_tokens(F.col("tokens"), F.col("span"))))
     rows = rows.withColumn("span_by", F.when(F.size("at") > 0, F.col("span_by")))
     chosen = F.transform("at", lambda i: F.get("tokens", i)["vec"])
     inner = F.transform(F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(0))), lambda t: t["vec"])
