@@ -138,6 +138,14 @@ def test_rarest_words_never_rule_out_a_link():
             assert set(dedup.rarest(a, counts, 0.8).tolist()) & set(dedup.rarest(b, counts, 0.8).tolist())
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9, 1.0])
+def test_lengths_that_allow_a_link_share_a_key(similarity):
+    for longer in range(1, 3000):
+        least = longer - int((1 - similarity) * longer + 1e-9)
+        for n in {least, (least + longer) // 2, longer}:
+            assert set(dedup.length_keys(max(1, n), similarity)) & set(dedup.length_keys(longer, similarity))
+
+
 def test_least_of_long_rows():
     rng = np.random.default_rng(4)
     sketch = dedup.Sketcher()

@@ -42,6 +42,7 @@ text are neither read nor in the way, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +55,17 @@ from verbascope.llm.common import Shelf, give_up, over_batches, salt, salts, spl
 #: Words to a run, runs to an item, items to a sketch; least similarity of a link.
 K, ELL, ITEMS, SIMILARITY = 5, 3, 24, 0.8
 #: A worker forgets word hashes beyond so many.
-MEMORY = 200_000
+MEMORY = 20_000
 #: Times that each text is compared with leaders before all that is left is compared, and leaders each time, at most.
 LEADER_ROUNDS, LEADERS = 2, 4
 #: Slots of the counts that order words by how rare they are; 8 bytes each.
 SLOTS = 1 << 20
 #: Members to a list of the texts that have a rare word.
 LISTED = 1024
+#: Texts that are left to a task.
+DEALT = 256
 #: Cells of a row, and words of a side, that a block of alignments may have; words that a task remembers.
-BLOCK, SIDE, REMEMBERED = 1 << 14, 1 << 20, 1 << 21
+BLOCK, SIDE, REMEMBERED = 1 << 14, 1 << 20, 1 << 20
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -285,14 +288,13 @@ def meeting(rows: DataFrame, key: str, value: str) -> DataFrame:
 def with_leaders(members: DataFrame, turn: int) -> DataFrame:
     """The pairs (a, b) of each text with the leaders of most of its buckets, where those are of another class."""
     salted = members.withColumn("salt", salt("id"))
-    first = salted.groupBy("item").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("b"), salts())
-    led = salted.join(split(first), ["item", "salt"]).where("id != b")
-    times = led.groupBy("id", "b").agg(F.count("*").alias("times"), F.min("label").alias("label"))
+    order = F.xxhash64("id", F.lit(turn))
+    first = salted.groupBy("item").agg(F.min_by("id", order).alias("b"), F.min_by("label", order).alias("b_label"), salts())
+    led = salted.join(split(first), ["item", "salt"]).where("label != b_label")
+    times = led.groupBy("id", "b").agg(F.count("*").alias("times"))
     # of equally frequent leaders any come first: which are compared in a round doesn't change the classes
-    first = Window.partitionBy("id").orderBy(F.desc("times"), F.xxhash64("b"), "b")
-    best = times.withColumn("place", F.row_number().over(first)).where(F.col("place") <= LEADERS).select("id", "b", "label")
-    other = members.select(F.col("id").alias("b"), F.col("label").alias("b_label")).distinct()
-    return best.join(other, "b").where("label != b_label").select(F.col("id").alias("a"), "b")
+    best = Window.partitionBy("id").orderBy(F.desc("times"), F.xxhash64("b"), "b")
+    return times.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select(F.col("id").alias("a"), "b")
 
 
 class Remembered(dict):
@@ -367,39 +369,57 @@ def rarest(words: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarr
     return found[order[: int((1 - similarity) * len(found) + 1e-9) + 1]]
 
 
-def slot_counts(texts: DataFrame) -> np.ndarray:
-    """How many occurrences of ``texts`` (label, text) fall into each of ``SLOTS`` slots; 0 where all are of one class.
+def length_keys(n: int, similarity: float) -> tuple[int, int]:
+    """Two keys of a length: lengths that allow a link have one in common."""
+    place = int(math.log(max(1, n)) / math.log(1.01 / similarity))
+    return place, place + 1
 
-    A task sums its rows in arrays of that size, and the driver gets no more rows than that.
+
+def by_length(found: np.ndarray, key: int) -> np.ndarray:
+    """The slots of occurrences in texts of a length key."""
+    with np.errstate(over="ignore"):
+        return (found + np.uint64(key) * ODD) % np.uint64(SLOTS)
+
+
+def slot_counts(texts: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays of ``SLOTS`` numbers over ``texts`` (label, text).
+
+    How many occurrences fall into each slot, 0 where all are of one class; and
+    whether occurrences in texts of a length key are of several classes. A task
+    sums its rows in arrays of that size, and the driver gets no more rows.
     """
 
     def run(batches):
         give_up()
-        known, counts = WordHash(), np.zeros(SLOTS, np.int64)
-        low, high = np.full(SLOTS, np.iinfo(np.int64).max), np.full(SLOTS, np.iinfo(np.int64).min)
+        known, counts = WordHash(), np.zeros(2 * SLOTS, np.int32)
+        low, high = np.full(2 * SLOTS, np.iinfo(np.int64).max), np.full(2 * SLOTS, np.iinfo(np.int64).min)
         for batch in batches:
             for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = words_of(text)
-                slots = occurrences(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))) % np.uint64(SLOTS)
-                np.add.at(counts, slots, 1)
-                low[slots], high[slots] = np.minimum(low[slots], label), np.maximum(high[slots], label)
-        full = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, counts[full], low[full], high[full])], ["slot", "n", "low", "high"])
+                found = occurrences(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+                plain = (found % np.uint64(SLOTS)).astype(np.int64)
+                np.add.at(counts, plain, 1)
+                for slots in (plain, *(SLOTS + by_length(found, k).astype(np.int64) for k in length_keys(len(words), similarity))):
+                    low[slots], high[slots] = np.minimum(low[slots], label), np.maximum(high[slots], label)
+        full = np.flatnonzero(low <= high)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, counts[full].astype(np.int64), low[full], high[full])], ["slot", "n", "low", "high"])
 
     sums = texts.select("label", "text").mapInArrow(run, "slot long, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     found = sums.where("low != high").select("slot", "n").toArrow()
-    counts = np.zeros(SLOTS, np.int64)
-    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return counts
+    slots, n = found["slot"].to_numpy(), found["n"].to_numpy()
+    counts, several = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, bool)
+    counts[slots[slots < SLOTS]] = n[slots < SLOTS]
+    several[slots[slots >= SLOTS] - SLOTS] = True
+    return counts, several
 
 
 def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: Shelf) -> DataFrame:
     """The pairs (a, b) of the ``members`` (item, id, label) of different classes whose rarest words and lengths allow a link."""
     open_ids = members.select("id", "label").distinct()
-    # their texts cost Python's time rather than bytes, so they are spread as asked and not packed by size
-    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # their texts cost Python's time rather than bytes, so they are dealt by number and not packed by size
+    tasks = -(-open_ids.count() // DEALT) or 1
     own = shelf.put(texts.join(open_ids, "id").select("id", "label", "n_words", "text").repartition(tasks, "id"), "open")
-    counts = slot_counts(own)
+    counts, several = slot_counts(own, similarity)
 
     def make():
         known = WordHash()
@@ -409,13 +429,14 @@ def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: S
             for text in batch["text"].to_pylist():
                 words = words_of(text)
                 first = rarest(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), counts, similarity)
-                # words that no other class has come first, and nothing meets by them
-                made.append(first[counts[first % np.uint64(SLOTS)] > 0].view(np.int64))
+                # words that no other class has come first; nothing meets by them, nor by those of no other class at lengths that allow a link
+                met = [several[by_length(first, k)] for k in length_keys(len(words), similarity)]
+                made.append(first[(counts[first % np.uint64(SLOTS)] > 0) & (met[0] | met[1])].view(np.int64))
             return {**{c: batch[c] for c in ("id", "label", "n_words")}, "words": pa.array(made, pa.list_(pa.int64()))}
 
         return step
 
-    rare = shelf.put(over_batches(own, "id long, label long, n_words int, words array<long>", make), "rare")
+    rare = over_batches(own, "id long, label long, n_words int, words array<long>", make)
     # a text's rarest occurrences differ from each other; one row each is written, as they are read twice
     rows = shelf.put(rare.select(F.explode("words").alias("word"), "id", "label", "n_words"), "rare-words")
     rows = shelf.put(meeting(rows, "word", "label"), "words")
@@ -456,11 +477,13 @@ def classes(docs: DataFrame, similarity: float, shelf: Shelf) -> DataFrame:
     needed = one.join(labels.select("id"), "id").select("id", "key", "did", "n_words", "items")
     texts = shelf.put(identified(docs).select("key", "did", "text").join(needed, ["key", "did"]).dropDuplicates(["key", "did"]).select("id", "text", "n_words", "items"), "words")
     for turn in range(LEADER_ROUNDS + 1):
-        members = shelf.put(meeting(members.select("item", "id").join(labels, "id"), "item", "label"), "open-members")
+        # at first every text is a class of its own, and every bucket is open
+        placed = members.select("item", "id").join(labels, "id") if turn else members.withColumn("label", F.col("id"))
+        members = shelf.put(meeting(placed, "item", "label"), "open-members") if turn else placed
         if members.isEmpty():
             break
         pairs = with_leaders(members, turn) if turn < LEADER_ROUNDS else left_pairs(members, texts, similarity, shelf)
-        labels = closed(labels, shelf.put(verified(pairs, texts, similarity), "links"), shelf)
+        labels = closed(labels, verified(pairs, texts, similarity), shelf)
     return one.join(labels, "id", "left").select("key", "did", "salts", F.coalesce("label", "id").alias("label"))
 
 
