@@ -14,7 +14,10 @@ with other leaders. What is then left in buckets of several classes, of whatever
 compared to the end: a link needs so many words in common that two linked
 texts share one of their rarest words (the prefix filter of similarity joins),
 so the texts meet by those words, in lists that are made distinct before they
-become pairs. Every pair that shares an item is thus connected, ruled out by
+become pairs. A word at which a text has fewer words left, from it to the end
+of the order, than a link of these two lengths needs in common isn't the first
+that a linked pair shares, so nothing is paired by it (the positional filter).
+Every pair that shares an item is thus connected, ruled out by
 its lengths or its rarest words, or aligned.
 
 Check: word edit distance of at most (1 - similarity) of the longer text. What
@@ -413,6 +416,15 @@ def slot_counts(texts: DataFrame, similarity: float) -> tuple[np.ndarray, np.nda
     return counts, several
 
 
+def rare_words(words: np.ndarray, counts: np.ndarray, several: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those ``rarest`` occurrences that another class may have too, and their places in the order of all."""
+    first = rarest(words, counts, similarity)
+    # words that no other class has come first; nothing meets by them, nor by those of no other class at lengths that allow a link
+    met = [several[by_length(first, k)] for k in length_keys(len(words), similarity)]
+    places = np.flatnonzero((counts[first % np.uint64(SLOTS)] > 0) & (met[0] | met[1]))
+    return first[places], places
+
+
 def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: Shelf) -> DataFrame:
     """The pairs (a, b) of the ``members`` (item, id, label) of different classes whose rarest words and lengths allow a link."""
     open_ids = members.select("id", "label").distinct()
@@ -428,27 +440,27 @@ def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: S
             made = []
             for text in batch["text"].to_pylist():
                 words = words_of(text)
-                first = rarest(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), counts, similarity)
-                # words that no other class has come first; nothing meets by them, nor by those of no other class at lengths that allow a link
-                met = [several[by_length(first, k)] for k in length_keys(len(words), similarity)]
-                made.append(first[(counts[first % np.uint64(SLOTS)] > 0) & (met[0] | met[1])].view(np.int64))
-            return {**{c: batch[c] for c in ("id", "label", "n_words")}, "words": pa.array(made, pa.list_(pa.int64()))}
+                found, places = rare_words(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), counts, several, similarity)
+                made.append([{"word": w, "place": p} for w, p in zip(found.view(np.int64).tolist(), places.tolist(), strict=True)])
+            return {**{c: batch[c] for c in ("id", "label", "n_words")}, "words": made}
 
         return step
 
-    rare = over_batches(own, "id long, label long, n_words int, words array<long>", make)
+    rare = over_batches(own, "id long, label long, n_words int, words array<struct<word: long, place: int>>", make)
     # a text's rarest occurrences differ from each other; one row each is written, as they are read twice
-    rows = shelf.put(rare.select(F.explode("words").alias("word"), "id", "label", "n_words"), "rare-words")
+    rows = shelf.put(rare.select(F.explode("words").alias("words"), "id", "label", "n_words").select("words.word", "words.place", "id", "label", "n_words"), "rare-words")
     rows = shelf.put(meeting(rows, "word", "label"), "words")
     largest = rows.groupBy("word").count().agg(F.max("count")).first()[0] or 0
     blocks = -(-largest // LISTED) or 1
     # the same block for a text in all lists, so what a text meets in a block is made distinct in one place
     block = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(blocks))
-    lists = rows.withColumn("block", block).groupBy("word", "block").agg(F.collect_list(F.struct("id", "label", "n_words")).alias("others"))
+    lists = rows.withColumn("block", block).groupBy("word", "block").agg(F.collect_list(F.struct("id", "label", "n_words", "place")).alias("others"))
 
     def allowed(x: Column) -> Column:
-        most = F.floor((1 - similarity) * F.greatest(x["n_words"], F.col("n_words")) + 1e-9)
-        return (x["id"] < F.col("id")) & (x["label"] != F.col("label")) & (F.abs(x["n_words"] - F.col("n_words")) <= most)
+        longer = F.greatest(x["n_words"], F.col("n_words"))
+        # all that a linked pair has in common comes from its first common word on, in either text's order
+        common = longer - F.floor((1 - similarity) * longer + 1e-9)
+        return (x["id"] < F.col("id")) & (x["label"] != F.col("label")) & (x["n_words"] - x["place"] >= common) & (F.col("n_words") - F.col("place") >= common)
 
     met = rows.join(lists, "word").select("id", "block", F.transform(F.filter("others", allowed), lambda x: x["id"]).alias("met")).where(F.size("met") > 0)
     return met.groupBy("id", "block").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met")).select(F.col("id").alias("a"), F.explode("met").alias("b"))
