@@ -282,3 +282,29 @@ def test_a_group_meets_others_by_first_common_words_only(spark):
     links = {p for p, alike in zip(across, dedup.linked([(words[i], words[j]) for i, j in across]), strict=True) if alike}
     # without the places of words 2,210 of the 2,380 pairs came
     assert len(links) > 50 and links <= pairs and len(pairs) < 2000
+
+
+def test_first_common_words_reach_each_other():
+    """Of linked texts both keep the first rare word in common, and have words enough from there on."""
+    rng, every, seen = random.Random(10), np.ones(dedup.SLOTS, bool), 0
+    for a, b in [pair(rng, rng.randrange(1, 200), words) for words in (3, 50, 10**6) for _ in range(100)]:
+        if not (len(a) and len(b) and dedup.linked([(a, b)])[0]):
+            continue
+        counts = np.array([rng.randrange(1, 9) for _ in range(dedup.SLOTS >> 12)] * (1 << 12))
+        sides = [(*dedup.rare_words(x, counts, every, 0.8), len(x)) for x in (a, b)]
+        common, at_a, at_b = np.intersect1d(sides[0][0], sides[1][0], return_indices=True)
+        first = at_a.argmin()
+        assert first == at_b.argmin()
+        slots = [set(dedup.reached(*side, 0.8).tolist()) for side in sides]
+        longer = max(len(a), len(b))
+        for found, places, n in sides:
+            at = int(np.flatnonzero(found == common[first])[0])
+            own = dedup.at_cells(found[at : at + 1], dedup.length_cells(np.array([n])))[0]
+            assert own in slots[0] and own in slots[1] and n - places[at] >= longer - int(0.2 * longer + 1e-9)
+        seen += 1
+    assert seen > 200
+
+
+def test_a_group_keeps_only_words_that_reach_others(spark):
+    # with all rare words that any other class has at lengths that allow a link, 7,385 rows were written
+    assert left(spark, *group_and_others(random.Random(5), 40))[1] < 6000

@@ -63,6 +63,8 @@ MEMORY = 20_000
 LEADER_ROUNDS, LEADERS = 2, 4
 #: Slots of the counts that order words by how rare they are; 8 bytes each.
 SLOTS = 1 << 20
+#: Slots of the words by which several classes may meet at a length, and the ratio of lengths that count as one.
+MET, RATIO = 1 << 21, 1.15
 #: Members to a list of the texts that have a rare word.
 LISTED = 1024
 #: Texts that are left to a task.
@@ -425,6 +427,47 @@ def rare_words(words: np.ndarray, counts: np.ndarray, several: np.ndarray, simil
     return first[places], places
 
 
+def length_cells(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(1, n)) / math.log(RATIO)).astype(np.int64)
+
+
+def at_cells(found: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The slots of occurrences in texts of these cells of lengths."""
+    with np.errstate(over="ignore"):
+        return (mixed(found + cells.astype(np.uint64) * ODD) % np.uint64(MET)).astype(np.int64)
+
+
+def reached(found: np.ndarray, places: np.ndarray, n: int, similarity: float) -> np.ndarray:
+    """The slots of all lengths at which a text linked to one of ``n`` words may have the occurrences at ``places`` as the first in common."""
+    # the longer of two linked texts has at most 1 / similarity times the words in common; a margin for logarithms
+    low = length_cells(np.array([(n - int((1 - similarity) * n + 1e-9)) * (1 - 1e-9)]))[0]
+    many = length_cells((n - places + 1e-9) / similarity * (1 + 1e-9)) - low + 1
+    return at_cells(np.repeat(found, many), low + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+
+
+def met_slots(texts: DataFrame, counts: np.ndarray, several: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rare words of several classes of ``texts`` (label, text) reach each of ``MET`` slots.
+
+    Summed by tasks as in ``slot_counts``; the driver gets the slots of several classes.
+    """
+
+    def run(batches):
+        give_up()
+        known, low, high = WordHash(), np.full(MET, np.iinfo(np.int64).max), np.full(MET, np.iinfo(np.int64).min)
+        for batch in batches:
+            for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                words = words_of(text)
+                slots = reached(*rare_words(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), counts, several, similarity), len(words), similarity)
+                low[slots], high[slots] = np.minimum(low[slots], label), np.maximum(high[slots], label)
+        full = np.flatnonzero(low <= high)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, low[full], high[full])], ["slot", "low", "high"])
+
+    sums = texts.select("label", "text").mapInArrow(run, "slot long, low long, high long").groupBy("slot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    met = np.zeros(MET, bool)
+    met[sums.where("low != high").select("slot").toArrow()["slot"].to_numpy()] = True
+    return met
+
+
 def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: Shelf) -> DataFrame:
     """The pairs (a, b) of the ``members`` (item, id, label) of different classes whose rarest words and lengths allow a link."""
     open_ids = members.select("id", "label").distinct()
@@ -432,6 +475,7 @@ def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: S
     tasks = -(-open_ids.count() // DEALT) or 1
     own = shelf.put(texts.join(open_ids, "id").select("id", "label", "n_words", "text").repartition(tasks, "id"), "open")
     counts, several = slot_counts(own, similarity)
+    met_at = met_slots(own, counts, several, similarity)
 
     def make():
         known = WordHash()
@@ -441,6 +485,9 @@ def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: S
             for text in batch["text"].to_pylist():
                 words = words_of(text)
                 found, places = rare_words(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), counts, several, similarity)
+                # no word by which no text of another class can first meet one of this length
+                meets = met_at[at_cells(found, length_cells(np.full(len(found), len(words))))]
+                found, places = found[meets], places[meets]
                 made.append([{"word": w, "place": p} for w, p in zip(found.view(np.int64).tolist(), places.tolist(), strict=True)])
             return {**{c: batch[c] for c in ("id", "label", "n_words")}, "words": made}
 
