@@ -295,11 +295,14 @@ def test_first_common_words_reach_each_other():
         common, at_a, at_b = np.intersect1d(sides[0][0], sides[1][0], return_indices=True)
         first = at_a.argmin()
         assert first == at_b.argmin()
-        slots = [set(dedup.reached(*side, 0.8).tolist()) for side in sides]
+        slots = [set(dedup.reached(*side, 0.8)[1].tolist()) for side in sides]
         longer = max(len(a), len(b))
         for found, places, n in sides:
             at = int(np.flatnonzero(found == common[first])[0])
             own = dedup.at_cells(found[at : at + 1], dedup.length_cells(np.array([n])))[0]
+            held = np.full(dedup.MET, dedup.NO_CLASS)
+            held[own] = 7
+            assert all(dedup.meets(*side, 6, held, 0.8)[np.flatnonzero(side[0] == common[first])[0]] for side in sides)
             assert own in slots[0] and own in slots[1] and n - places[at] >= longer - int(0.2 * longer + 1e-9)
         seen += 1
     assert seen > 200

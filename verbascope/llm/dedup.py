@@ -63,7 +63,7 @@ MEMORY = 20_000
 LEADER_ROUNDS, LEADERS = 2, 4
 #: Slots of the counts that order words by how rare they are; 8 bytes each.
 SLOTS = 1 << 20
-#: Slots of the words by which several classes may meet at a length, and the ratio of lengths that count as one.
+#: Slots of the classes that have a word at a length, 8 bytes each, and the ratio of lengths that count as one.
 MET, RATIO = 1 << 21, 1.15
 #: Members to a list of the texts that have a rare word.
 LISTED = 1024
@@ -437,18 +437,22 @@ def at_cells(found: np.ndarray, cells: np.ndarray) -> np.ndarray:
         return (mixed(found + cells.astype(np.uint64) * ODD) % np.uint64(MET)).astype(np.int64)
 
 
-def reached(found: np.ndarray, places: np.ndarray, n: int, similarity: float) -> np.ndarray:
-    """The slots of all lengths at which a text linked to one of ``n`` words may have the occurrences at ``places`` as the first in common."""
+def reached(found: np.ndarray, places: np.ndarray, n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many slots each occurrence has, and the slots, of all lengths at which a text linked to one of ``n`` words may have the occurrences at ``places`` as the first in common."""
     # the longer of two linked texts has at most 1 / similarity times the words in common; a margin for logarithms
     low = length_cells(np.array([(n - int((1 - similarity) * n + 1e-9)) * (1 - 1e-9)]))[0]
     many = length_cells((n - places + 1e-9) / similarity * (1 + 1e-9)) - low + 1
-    return at_cells(np.repeat(found, many), low + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+    return many, at_cells(np.repeat(found, many), low + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
 
 
-def met_slots(texts: DataFrame, counts: np.ndarray, several: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether rare words of several classes of ``texts`` (label, text) reach each of ``MET`` slots.
+#: What a slot holds that no class or several classes have; labels are not negative.
+NO_CLASS, SEVERAL = -1, -2
 
-    Summed by tasks as in ``slot_counts``; the driver gets the slots of several classes.
+
+def class_slots(texts: DataFrame, counts: np.ndarray, several: np.ndarray, similarity: float) -> np.ndarray:
+    """The label of the class that has rare words of its texts' lengths in each of ``MET`` slots, for ``texts`` (label, text).
+
+    Summed by tasks as in ``slot_counts``; a word is noted once a text, at its length.
     """
 
     def run(batches):
@@ -457,15 +461,25 @@ def met_slots(texts: DataFrame, counts: np.ndarray, several: np.ndarray, similar
         for batch in batches:
             for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = words_of(text)
-                slots = reached(*rare_words(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), counts, several, similarity), len(words), similarity)
+                found, _ = rare_words(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), counts, several, similarity)
+                slots = at_cells(found, length_cells(np.full(len(found), len(words))))
                 low[slots], high[slots] = np.minimum(low[slots], label), np.maximum(high[slots], label)
         full = np.flatnonzero(low <= high)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, low[full], high[full])], ["slot", "low", "high"])
 
     sums = texts.select("label", "text").mapInArrow(run, "slot long, low long, high long").groupBy("slot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    met = np.zeros(MET, bool)
-    met[sums.where("low != high").select("slot").toArrow()["slot"].to_numpy()] = True
-    return met
+    found = sums.select("slot", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(SEVERAL)).alias("label")).toArrow()
+    held = np.full(MET, NO_CLASS, np.int64)
+    held[found["slot"].to_numpy()] = found["label"].to_numpy()
+    return held
+
+
+def meets(found: np.ndarray, places: np.ndarray, n: int, label: int, held: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether a text of another class may have each occurrence as the first in common with this text of ``n`` words."""
+    if not len(found):
+        return np.zeros(0, bool)
+    many, slots = reached(found, places, n, similarity)
+    return np.logical_or.reduceat((held[slots] != NO_CLASS) & (held[slots] != label), np.cumsum(many) - many)
 
 
 def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: Shelf) -> DataFrame:
@@ -475,19 +489,19 @@ def left_pairs(members: DataFrame, texts: DataFrame, similarity: float, shelf: S
     tasks = -(-open_ids.count() // DEALT) or 1
     own = shelf.put(texts.join(open_ids, "id").select("id", "label", "n_words", "text").repartition(tasks, "id"), "open")
     counts, several = slot_counts(own, similarity)
-    met_at = met_slots(own, counts, several, similarity)
+    held = class_slots(own, counts, several, similarity)
 
     def make():
         known = WordHash()
 
         def step(batch: pa.RecordBatch) -> dict:
             made = []
-            for text in batch["text"].to_pylist():
+            for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = words_of(text)
                 found, places = rare_words(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), counts, several, similarity)
-                # no word by which no text of another class can first meet one of this length
-                meets = met_at[at_cells(found, length_cells(np.full(len(found), len(words))))]
-                found, places = found[meets], places[meets]
+                # no word by which no text of another class can first meet this one
+                kept = meets(found, places, len(words), label, held, similarity)
+                found, places = found[kept], places[kept]
                 made.append([{"word": w, "place": p} for w, p in zip(found.view(np.int64).tolist(), places.tolist(), strict=True)])
             return {**{c: batch[c] for c in ("id", "label", "n_words")}, "words": made}
 
