@@ -529,7 +529,7 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The masked mean of the token vectors of each text: here the vectors of each term, a quarter of them padding."""
     rows = view(spark, sf_dir, "vectors").groupBy("term").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("tokens"))
     pooled = vectors.pooled(F.transform("tokens", lambda t: t["embedding"]), F.transform("tokens", lambda t: F.when(t["vec_id"] % 4 != 0, 1).otherwise(0)))
-    return rows.select("term", F.transform(pooled, lambda x: F.round(x, 6)).alias("vec"))
+    return rows.select("term", F.transform(pooled, lambda x: vectors.rounded(x, 6)).alias("vec"))
 
 
 # ---- phrase matching
