@@ -8,7 +8,7 @@ from verbascope.functions import vectors
 from verbascope.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["mean_pool"])
+@pytest.mark.parametrize("name", ["mean_pool", "sense_anchor", "embedding_wsd"])
 def test_small_negative_means_keep_their_sign(tmp_path, spark, name):
     """Means and similarities that round to zero from below, and vectors of -0.0, give what SQL gives, down to the sign."""
     vecs = [[-1e-8, 1e-8, -0.0, 1.0] if i % 2 else [-3e-8, -1e-8, -0.0, 1e-5] for i in range(10)] + [[1.0, -2e-8, -0.0, 1e-11 * (i - 5)] for i in range(10)]

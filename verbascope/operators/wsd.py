@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbascope.functions.text import clean, examples, keywords, number_order, sense_text, terms
-from verbascope.functions.vectors import cosine, first_best
+from verbascope.functions.vectors import cosine, first_best, rounded
 from verbascope.operators.ordering import first_wins
 
 TIE = 1e-4
@@ -101,7 +101,7 @@ def predicted(similarities: DataFrame, places: int | None = None) -> DataFrame:
     ``places`` rounds similarities before they are ranked; for comparisons with
     another engine's arithmetic only.
     """
-    sim = F.col("sim") if places is None else F.round("sim", places)
+    sim = F.col("sim") if places is None else rounded(F.col("sim"), places)
     rows = similarities.withColumn("sim", sim).groupBy("term", "gold_no").agg(
         F.count("*").alias("n_senses"),
         first_best(F.col("sense_no"), F.col("sim"), number_order(F.col("sense_no"))).alias("pred_no"),

@@ -32,7 +32,7 @@ def query(oracle: str | None = None, *views: str):
 
 
 def _rounded(df: DataFrame, places: int = 9) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[vectors.rounded(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -293,7 +293,7 @@ def ols_r2_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R² of one predictor, from its moments."""
     rows = _both(spark, sf_dir)
     found = stats.moments(rows, ("PH_mean_score", "total_score"))
-    return found.select(F.round(F.col("cov")[1] * F.col("cov")[1] / (F.col("cov")[0] * F.col("cov")[2]), 9).alias("r2"), "n")
+    return found.select(vectors.rounded(F.col("cov")[1] * F.col("cov")[1] / (F.col("cov")[0] * F.col("cov")[2]), 9).alias("r2"), "n")
 
 
 PREDICTORS = (*stats.WORD_BLOCK, *stats.PHRASE_BLOCK)
@@ -450,7 +450,7 @@ DIALOGUES = "WITH " + _tfidf_sql("SELECT term, sense_no, text FROM dialogues", "
 
 
 def _tidy(results: DataFrame) -> DataFrame:
-    return results.withColumn("sim_gap", F.round("sim_gap", 9))
+    return results.withColumn("sim_gap", vectors.rounded(F.col("sim_gap"), 9))
 
 
 def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,7 +520,7 @@ def embedding_wsd(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT term, label AS sense_no, list(round(x, 6) ORDER BY pos) AS vec FROM e GROUP BY ALL""", "vectors")
 def sense_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "vectors").select("term", F.col("label").alias("sense_no"), F.col("embedding").alias("vec"))
-    return wsd.anchors(rows).withColumn("vec", F.transform("vec", lambda x: F.round(x, 6)))
+    return wsd.anchors(rows).withColumn("vec", F.transform("vec", lambda x: vectors.rounded(x, 6)))
 
 
 @query("""WITH e AS (SELECT term, pos, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT term, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM vectors WHERE vec_id % 4 <> 0) GROUP BY ALL)
