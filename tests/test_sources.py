@@ -1,10 +1,14 @@
 import argparse
 import math
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from tests.compare import assert_same
 from verbascope.operators import encoders, indices, stats
-from verbascope.plans import cli, reports
+from verbascope.plans import catalog, cli, reports
 from verbascope.sources import files, workbooks
 from verbascope.streaming.indices import follow, latest
 from tests.test_indices import HITS, hits, levels
@@ -120,3 +124,14 @@ def test_stream(tmp_path, spark, unit):
         assert {tuple(r) for r in latest(spark, str(tmp_path / "live")).collect()} == {tuple(r) for r in whole.collect()}
     finally:
         query.stop()
+
+
+def test_essays_of_any_characters(tmp_path, spark):
+    """White space at the ends, carriage returns, controls, marks, repeated ids and missing texts come back from XML as SQL has them."""
+    texts = ["a\rb", "a\r\nb", " lead", "trail ", "\n", "", "  ", "a\n\nb\n", "\t", " \n ", "\x00\x01\x0b\x1e\x7f\x85\x9f", "﻿bom", "￾￿", "%", "%41", "50 % + 1", "a+b", " ls\xa0", "<b>&amp;]]></b>", "</essay>", "null", "\U0001f600", None, "same", "same"]
+    ids = [*range(len(texts) - 2), 7, 7]
+    rows = {"doc_id": ids, "text": pa.array(texts, pa.string())}
+    pq.write_table(pa.table(rows), tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert_same(catalog.source_essays(spark, str(tmp_path)), con, catalog.ORACLES["source_essays"])

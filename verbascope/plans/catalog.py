@@ -374,8 +374,8 @@ def source_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_essays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Essays as XML, a paragraph a line."""
     path = shared.folder(spark, "essays")
-    _essays(spark, sf_dir).withColumnRenamed("paragraphs", "paragraph").write.format("xml").options(rowTag="essay", rootTag="essays").save(path)
-    essays, _ = files.read_essays(spark, path, pattern="part-*")
+    files.write_essays(_essays(spark, sf_dir), path)
+    essays, _ = files.read_essays(spark, path, pattern="part-*", written=True)
     return essays
 
 
