@@ -3,6 +3,7 @@ import random
 import pytest
 
 from verbascope.operators import indices, ordering
+from verbascope.plans import catalog
 
 HITS = "row_no long, essay_id string, phrase string, is_poly string, sense string, cefr string, pos string, total_score double"
 PV = "phrasal verb"
@@ -93,3 +94,29 @@ def test_first_and_last(spark):
 def test_empty_tables(spark):
     resolved = indices.resolved(spark.createDataFrame([], HITS), levels(spark))
     assert indices.phrase_indices(resolved).collect() == [] and indices.unresolved(resolved).first()[0] == 0
+
+
+def test_common_words_are_not_shuffled(spark, monkeypatch):
+    """Words above the bound meet a broadcast of their levels, others are joined by a shuffle, and both are counted as single look-ups count them."""
+    monkeypatch.setattr(indices, "COMMON", 10)
+    rows = [(f"e{i % 7}", w, w) for i in range(100) for w in ("the", "the", "of", f"w{i % 40}")] + [("e1", "go", "went"), ("e2", None, "the"), ("e3", "x", None)]
+    tokens = spark.createDataFrame(rows, "essay_id string, lemma string, word string")
+    dictionary = spark.createDataFrame([("the", "A1"), ("go", "B1"), ("went", "C1"), ("of", "X9"), *((f"w{i}", indices.LEVELS[i % 6]) for i in range(0, 40, 2))], "word string, min_level string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = indices.counted_levels(tokens, dictionary)
+        assert "BroadcastHashJoin [lemma" in got._jdf.queryExecution().executedPlan().toString()
+        total = {tuple(r) for r in got.groupBy("essay_id", "level").agg({"n": "sum"}).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    known = tokens.where("lemma IS NOT NULL AND word IS NOT NULL")
+    assert total == {tuple(r) for r in indices.dictionary_levels(known, dictionary).groupBy("essay_id", "level").count().collect()}
+
+
+def test_the_dictionary_sorts_no_tokens(spark, small):
+    """The words of all texts are counted by hash before the greatest level of each is taken."""
+    lines = catalog.word_indices(spark, small)._jdf.queryExecution().executedPlan().toString().splitlines()
+    for i in (i for i, x in enumerate(lines) if "Generate explode" in x):
+        last = max(k for k in range(i) if "Exchange" in lines[k])
+        assert "SortAggregate" not in "".join(lines[last:i])

@@ -87,32 +87,41 @@ def phrase_groups(hits: DataFrame, unit: str = "answer") -> DataFrame:
     return rows.groupBy("essay_id").agg(*[c.alias(k) for k, c in measures.items()]).select(*PHRASE_COLUMNS, "_n")
 
 
-def dictionary_levels(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``tokens`` (lemma, word, ...) with ``level``: the lemma's entry if there is one, else the word's; only valid levels stay."""
+def _looked_up(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``tokens`` (lemma, word, ...) with ``level``: the lemma's entry if there is one, else the word's, else null."""
     entries = dictionary.where("word IS NOT NULL AND word <> ''").groupBy("word").agg(F.max("min_level").alias("min_level"))
     by_lemma = entries.select(F.col("word").alias("lemma"), F.lit(True).alias("_has"), F.col("min_level").alias("_lemma"))
     by_word = entries.select("word", F.col("min_level").alias("_word"))
     joined = tokens.join(by_lemma, "lemma", "left").join(by_word, "word", "left")
     level = F.when(F.col("_has"), F.col("_lemma")).otherwise(F.col("_word"))
-    return joined.withColumn("level", level).drop("_has", "_lemma", "_word").where(is_level(F.col("level")))
+    return joined.withColumn("level", level).drop("_has", "_lemma", "_word")
+
+
+def dictionary_levels(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``tokens`` (lemma, word, ...) with ``level``: the lemma's entry if there is one, else the word's; only valid levels stay."""
+    return _looked_up(tokens, dictionary).where(is_level(F.col("level")))
 
 
-#: Parts into which a word that most essays have is split.
-SALTS = 63
+#: A word is common if it is at least one in so many of all words; so there are at most as many common words, whatever the input.
+COMMON = 1 << 20
 
 
 def counted_levels(tokens: DataFrame, dictionary: DataFrame, key: str = "essay_id") -> DataFrame:
-    """``key``, level, n: the words of ``tokens`` (key, lemma, word) with a valid level, each once an essay with how often it occurs.
+    """``key``, level, n: the words of ``tokens`` (key, lemma, word) with a valid level, ``n`` of 1 each.
 
-    Each pair of lemma and word is looked up once, and the essays that have it
-    meet its level by salts, as some words are in all of them.
+    Each pair of lemma and word is looked up once. The levels of common ones,
+    nine words in ten of a text, are broadcast; the other words are shuffled to
+    theirs, and none of them is so frequent that it makes a task large.
     """
-    salted = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
-    words = tokens.groupBy(key, "lemma", "word").agg(F.count("*").alias("n")).withColumn("_salt", salted)
-    pairs = words.groupBy("lemma", "word").agg(F.expr("bit_or(shiftleft(1L, _salt))").alias("_salts"))
-    places = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("_salts", s) == 1))
-    levels = dictionary_levels(pairs, dictionary).select("lemma", "word", "level", places.alias("_salt"))
-    return words.join(levels, ["lemma", "word", "_salt"]).select(key, "level", "n")
+    tokens = tokens.where("lemma IS NOT NULL AND word IS NOT NULL")  # as the joins do, so that the pairs are counted once for all that follows
+    pairs = tokens.groupBy("lemma", "word").agg(F.count("*").alias("_n"))
+    total = pairs.agg(F.sum("_n").alias("_total"))
+    found = _looked_up(pairs, dictionary).join(F.broadcast(total)).withColumn("_common", F.col("_n") * COMMON >= F.col("_total")).select("lemma", "word", "level", "_common")
+    met = tokens.join(F.broadcast(found.where("_common")), ["lemma", "word"], "left")
+    often = met.where(F.col("_common") & is_level(F.col("level"))).select(key, "level")
+    levels = found.where(~F.col("_common") & is_level(F.col("level"))).drop("_common")
+    seldom = met.where("_common IS NULL").select(key, "lemma", "word").join(levels, ["lemma", "word"]).select(key, "level")
+    return often.union(seldom).withColumn("n", F.lit(1).cast("long"))
 
 
 def word_indices(levelled: DataFrame, key: str = "essay_id") -> DataFrame:

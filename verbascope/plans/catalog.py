@@ -249,7 +249,9 @@ word_rows AS (
 
 
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).distinct().where(F.ascii("word") % 9 != 0)
+    words = _table(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).where(F.ascii("word") % 9 != 0)
+    # words are counted as the optimizer drops a mere DISTINCT before the greatest level of a word is taken, which then sorts all words of all texts
+    documents = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 0")
     level = F.element_at(F.array(*[F.lit(x) for x in ("", *LEVELS, "X9")]), F.ascii("word") % 8 + 1)
     return documents.select("word", level.alias("min_level"))
 
