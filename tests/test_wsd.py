@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbascope.functions import vectors
+from verbascope.functions.spans import lemma_span
+from verbascope.functions.text import keywords
 from verbascope.operators import encoders, wsd
 from verbascope.plans import cli, reports
 from verbascope.sources import workbooks
@@ -147,3 +149,13 @@ def test_senses_numbered_by_text(spark):
 def test_content_words(spark):
     rows = spark.createDataFrame([("e", ["One Two", "three"]), ("f", [])], "essay_id string, paragraphs array<string>")
     assert sorted(tuple(r) for r in encoders.content_words(rows, encoders.PlainAnalyzer).collect()) == [("e", "one", "one"), ("e", "three", "three"), ("e", "two", "two")]
+
+
+def test_keywords_give_the_span_that_all_words_give(spark):
+    """Words that aren't keywords leave no lemmas behind, and the spans by lemma are those of all words."""
+    texts = ["up we make it up", "make a made up make", "Make UP", "", None, "up", "on and on it went on"]
+    rows = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate((t, p) for t in texts for p in ("make up", "up make up", "on", "to be"))], "i long, text string, term string").withColumn("keys", keywords(F.col("term")))
+    few, every = (encoders.lemma_tokens(rows, encoders.PlainAnalyzer, among=x) for x in ("keys", None))
+    assert all(t["lemma"] in r["keys"] for r in few.collect() for t in r["lemmas"])
+    got, want = ({r[0]: r[1] for r in x.select("i", lemma_span(F.col("lemmas"), F.col("keys"))).collect()} for x in (few, every))
+    assert got == want and sum(x is not None for x in want.values()) > 5

@@ -7,6 +7,8 @@ found at all means no span. The span covers all that lies between.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def _start(next_at: int) -> Column:
     return F.struct(F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"), F.lit(next_at).alias("next"), F.lit(True).alias("found")).cast(_SPAN)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def exact_span(text: Column, keywords: Column) -> Column:
     """struct<start, end> of keywords as substrings of the lowered text, half open, from 0; null without a match."""
     low = F.lower(text)
@@ -43,9 +50,12 @@ def lemma_span(tokens: Column, keywords: Column) -> Column:
     """The same over ``tokens`` array<struct<lemma, orig, cs, ce>>, by lemma or form; a match out of order doesn't move on."""
 
     def step(state: Column, word: Column) -> Column:
-        hits = F.filter(F.transform(tokens, lambda t, i: F.struct(t["lemma"].alias("lemma"), t["orig"].alias("orig"), t["cs"].alias("cs"), t["ce"].alias("ce"), i.alias("i"))), lambda t: (t["lemma"] == word) | (t["orig"] == word))
-        onward = F.get(F.filter(hits, lambda t: t["i"] >= state["next"]), F.lit(0))
-        hit = F.coalesce(onward, F.get(hits, F.lit(0)))
+        placed = F.transform(tokens, lambda t, i: F.struct(t["lemma"].alias("lemma"), t["orig"].alias("orig"), t["cs"].alias("cs"), t["ce"].alias("ce"), i.alias("i")))
+        hits = F.filter(placed, lambda t: (t["lemma"] == word) | (t["orig"] == word))
+        chosen = _bound(hits, lambda h: F.struct(F.get(F.filter(h, lambda t: t["i"] >= state["next"]), F.lit(0)).alias("onward"), F.get(h, F.lit(0)).alias("first")))
+        return _bound(chosen, lambda c: moved(state, c["onward"], F.coalesce(c["onward"], c["first"])))
+
+    def moved(state: Column, onward: Column, hit: Column) -> Column:
         ok = state["found"] & hit.isNotNull()
         return F.struct(
             F.when(ok, F.least(hit["cs"], F.coalesce(state["low"], hit["cs"]))).alias("low"),

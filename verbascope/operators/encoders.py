@@ -138,15 +138,24 @@ def phrase_vectors(rows: DataFrame, text: str = "text", phrase: str = "term", le
 LEMMAS = "array<struct<lemma:string,orig:string,cs:int,ce:int>>"
 
 
-def lemma_tokens(rows: DataFrame, factory: Callable[[], Analyzer], text: str = "text") -> DataFrame:
-    """``rows`` with ``lemmas``: lemma, lowered form and place of each word."""
+def _lemmas(words: list[tuple[str, str, str, int, int]], kept: set[str] | None) -> list[dict]:
+    lowered = ((lemma.lower(), w.lower(), s, e) for w, _, lemma, s, e in words)
+    return [{"lemma": lemma, "orig": w, "cs": s, "ce": e} for lemma, w, s, e in lowered if kept is None or lemma in kept or w in kept]
+
+
+def lemma_tokens(rows: DataFrame, factory: Callable[[], Analyzer], text: str = "text", among: str | None = None) -> DataFrame:
+    """``rows`` with ``lemmas``: lemma, lowered form and place of each word, or only of those that are, by lemma or form, in the array ``among``.
+
+    The latter, with a phrase's keywords, give the same ``lemma_span`` as all.
+    """
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", lemmas {LEMMAS}"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         analyzer = factory()
         for part in (whole.iloc[at : at + 64] for whole in parts for at in range(0, len(whole), 64)):  # tokens of whole texts take memory
             found = analyzer.analyze(part[text].fillna("").tolist())
-            yield part.assign(lemmas=[[{"lemma": lemma.lower(), "orig": w.lower(), "cs": s, "ce": e} for w, _, lemma, s, e in t] for t in found])
+            kept = [None] * len(part) if among is None else [set() if x is None else set(x) for x in part[among]]
+            yield part.assign(lemmas=[_lemmas(t, k) for t, k in zip(found, kept, strict=True)])
 
     return rows.mapInPandas(run, schema)
 

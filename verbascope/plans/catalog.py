@@ -585,8 +585,8 @@ lemma_spans AS (SELECT g.doc_id, min(cs) AS low, max(ce) AS high FROM told g JOI
 @query(f"WITH {LEMMA_SPAN} SELECT s.doc_id, CAST(coalesce(low, span_start) AS INT) AS span_start, CAST(coalesce(high, span_end) AS INT) AS span_end FROM spans s LEFT JOIN lemma_spans l ON s.doc_id = l.doc_id", "sentences")
 def lemma_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans by lemma, from the plain analyzer, and else by characters."""
-    rows = encoders.lemma_tokens(view(spark, sf_dir, "sentences"), encoders.PlainAnalyzer)
-    span = spans.phrase_span(F.col("text"), text.keywords(F.col("term")), F.col("lemmas"))
+    rows = encoders.lemma_tokens(view(spark, sf_dir, "sentences").withColumn("keywords", text.keywords(F.col("term"))), encoders.PlainAnalyzer, among="keywords")
+    span = spans.phrase_span(F.col("text"), F.col("keywords"), F.col("lemmas"))
     return rows.select("doc_id", span.alias("span")).select("doc_id", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"))
 
 
