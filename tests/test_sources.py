@@ -27,6 +27,34 @@ def test_workbook_round_trip(tmp_path, spark):
     assert workbooks.read_inventory(spark, str(path)).where("term = 'go on'").first()["sense_no"] == "1"
 
 
+SHEETS = [
+    [["a", "b", "a"], ["1", None, "<x> & 'y' &amp;"], ["", " s ", "two\nlines"], [1, 2.5, -0.0], [float("inf"), 1e300, True], [None, None, None], ["é\U0001f600", "a\rb", "]]>"]],
+    [["a", "b"], ["only"], [], ["x", "y", "z"]],
+    [["a"]],
+    [],
+]
+
+
+@pytest.mark.parametrize("lines", SHEETS, ids=range(len(SHEETS)))
+def test_plain_sheets_read_like_any_others(monkeypatch, lines):
+    """A sheet as it is written here is read without a parser, and gives what the parser gives."""
+    book = workbooks.workbook({"one": lines})
+    fast = list(workbooks.rows(book)), workbooks.columns_of(book, ["a", "b", "c"]) if lines else None
+    called = workbooks.plain_lines(workbooks.sheet_of(map(workbooks._cell, x) for x in lines).encode())
+    assert (called is None) == any("\r" in str(x) for line in lines for x in line)
+    monkeypatch.setattr(workbooks, "plain_lines", lambda sheet: None)
+    assert fast == (list(workbooks.rows(book)), workbooks.columns_of(book, ["a", "b", "c"]) if lines else None)
+    if lines:
+        assert fast[1] == [[r.get(c) for r in fast[0]] for c in "abc"]
+
+
+def test_other_sheets_need_a_parser():
+    plain = workbooks.sheet_of([["<c><v>1</v></c>", "<c/>"]])
+    assert workbooks.plain_lines(plain.encode()) == [["1", None]]
+    for a, b in (("<c/>", '<c r="B1"/>'), ("<row>", '<row r="1">'), ("<c/>", "<!-- x --><c/>"), ("1</v>", "&#49;</v>"), ("</row>", "</row><row/>"), ("<c/>", "<c><v></v></c>"), ("</sheetData>", "</sheetData><x/>")):
+        assert workbooks.plain_lines(plain.replace(a, b).encode()) is None
+
+
 def test_csv(tmp_path, spark):
     path = str(tmp_path / "x.csv")
     rows = indices.phrase_indices(indices.resolved(hits(spark), levels(spark)))
